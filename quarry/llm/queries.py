@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, exact_dedup, line_dedup, packing
+from quarry.llm import bpe, chat, exact_dedup, html_text, line_dedup, packing, toxicity
 from quarry.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode_and_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
     return rows.select(
@@ -35,6 +40,20 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows.unionByName(extra)))
 
 
+def toxicity_bank(docs: DataFrame, sf_dir: str) -> toxicity.Bank:
+    """Learned from the labels of rows that aren't held out."""
+    labels = table(docs.sparkSession, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs, labels)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity_bank(docs, sf_dir))
+    return rows.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_points=1)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -47,8 +66,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_html_text": op2_html_text,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
 }
