@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, exact_dedup, html_text, line_dedup, packing, toxicity
+from quarry.llm import bpe, chat, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, toxicity, vector_dedup
 from quarry.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -26,6 +26,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encode_and_decode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
     return rows.select(
@@ -64,14 +68,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return rows.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
+    "op3_near_dedup": op3_near_dedup,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_vector_dedup": op9_vector_dedup,
+    "op10_pii": op10_pii,
 }
 
 _SQL_WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -16,7 +16,7 @@ Defined results: null or empty text, and text without any chosen term, gets the
 an empty vote; ids may be null or repeat (each row is scored by its own text); label rows with null
 ids or null labels are ignored, of several labels for an id the largest counts; without labels of
 both kinds each score is the share of label 1 (0 without labels); an empty table gives an empty
-result; all columns of the input are kept and new ones must not clash with them.
+result; all columns of the input are kept, but for ones named toxic_score or nearest, which give way.
 """
 
 from __future__ import annotations
@@ -238,6 +238,7 @@ def _calibration(spark: SparkSession, bank: Bank, found: list[tuple[int, int, li
 
 def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with toxic_score and nearest (ids and cosines of up to five examples)."""
+    docs = docs.drop("toxic_score", "nearest")
     shared = docs.sparkSession.sparkContext.broadcast(bank)
     nearest = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("nearest", nearest)])
