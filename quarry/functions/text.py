@@ -64,7 +64,7 @@ def hashtag(c: Column, longest: int = 28) -> Column:
 
 
 def city_state(address: Column) -> Column:
-    parts = F.filter(F.transform(F.split(address, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(address, ","), lambda p: F.trim(p)), lambda p: p != "")
     state = lambda p: F.get(F.split(p, " "), F.lit(0))
     n = F.size(parts)
     return F.when(n >= 3, F.concat_ws(", ", F.get(parts, n - 2), state(F.get(parts, n - 1)))).when(n == 2, F.concat_ws(", ", F.get(parts, F.lit(0)), state(F.get(parts, F.lit(1))))).otherwise(address)
