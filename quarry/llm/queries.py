@@ -94,6 +94,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SQL_WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLES: dict[str, str] = {
+    "op3_near_dedup": rf"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        sets AS (
+            SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: list_aggregate(words[i:i + 4], 'string_agg', ' '))) END AS shingles FROM docs),
+        flat AS (SELECT r, len(shingles) AS n, unnest(shingles) AS s FROM sets),
+        links AS (
+            SELECT a.r AS a, b.r AS b FROM flat a JOIN flat b ON a.s = b.s AND a.r <> b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT r AS a, r AS b FROM docs
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+        SELECT sets.doc_id, len(sets.shingles)::BIGINT AS n_shingles, min(other.doc_id) AS component_id, sets.doc_id IS NOT DISTINCT FROM min(other.doc_id) AS kept
+        FROM sets JOIN reach ON reach.a = sets.r JOIN docs other ON other.r = reach.b GROUP BY sets.r, sets.doc_id, sets.shingles""",
     "op5_chat": r"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -123,4 +137,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM docs WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op9_vector_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+        usable AS (
+            SELECT r, label, x FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+        links AS (
+            SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.x) = len(b.x)
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+        reach AS (
+            SELECT r AS a, r AS b FROM v
+            UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+        least AS (SELECT reach.a AS r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.b GROUP BY 1)
+        SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (r)""",
 }
