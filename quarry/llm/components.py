@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 
 
 def _state(links: DataFrame) -> tuple:
@@ -26,10 +26,12 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
     around = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         around = around.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = materialize(around.groupBy("u").agg(F.min("v").alias("m")), "star").select("u", F.least("u", "m").alias("m"))
+    least = materialize(around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "star")
     joined = around.join(least, "u")
     moved = joined.where(F.col("v") > F.col("u")) if large else joined.unionByName(least.select("u", F.col("u").alias("v"), "m"))
-    return materialize(moved.where(F.col("v") > F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+    out = materialize(moved.where(F.col("v") > F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+    discard(least, links)
+    return out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_of
+from quarry.llm.common import discard, materialize, text_of
 from quarry.llm.components import components
 
 #: Trees, values in each, and neighbours on each side that a class meets in an order.
@@ -251,7 +251,10 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     borders = met.where("edge").select("tree", "key", "node", "n", "bytes")
     again = borders.repartition("tree", F.substring("key", 1, 4)).sortWithinPartitions("tree", "key", "node").mapInArrow(_meet(percent, least, False), _MET)
     pairs = met.where(~F.col("edge")).unionByName(again).groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    return materialize(pairs, "pairs")
+    discard(orders)
+    pairs = materialize(pairs, "pairs")
+    discard(met)
+    return pairs
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -315,7 +318,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
-    """node, root for all classes with a confirmed link."""
+    """node, root for all classes with a confirmed link, written."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     needed = materialize(classes.join(ends, "node", "left_semi").select("node", "doc_id", "k1", "k2"), "needed")
     sets = materialize(_sets(docs, needed, words), "sets")
@@ -327,22 +330,27 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
     left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = _confirmed(apart, sets, percent)
-    return components(first.unionByName(second))
+    discard(pairs, needed, sets, roots)
+    out = materialize(components(first.unionByName(second)), "roots")
+    discard(first, second)
+    return out
 
 
 def groups(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sketch = materialize(docs.mapInArrow(_sketch(words), _SKETCH), "sketch")
+    rows = materialize(sketch.select("doc_id", "k1", "k2", "n_shingles"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
     # Every row of a class has the same signature.
     classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes.select("k1", "k2", "least.doc_id", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")), "classes")
-    roots = materialize(_linked(_candidates(classes, percent), docs, classes, percent, words), "roots")
+    discard(sketch)
+    roots = _linked(_candidates(classes, percent), docs, classes, percent, words)
     placed = materialize(classes.select("node", "k1", "k2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     labels = materialize(placed.join(least, "root").select("k1", "k2", "component_id"), "labels")
-    rows = sketch.select("doc_id", "k1", "k2", "n_shingles")
+    discard(classes, roots, placed, least)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(labels, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

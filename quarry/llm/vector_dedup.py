@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize
+from quarry.llm.common import discard, materialize
 from quarry.llm.components import components
 
 #: Bound of the sample that rotations are learned on.
@@ -225,6 +225,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     least = materialize(placed.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
     labels = placed.join(least, "root").select("label", "digest", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     labels = materialize(labels, "labels")
+    discard(classes, codes, met, placed, least)
     out = rows.select("vec_id", "label", "digest").join(labels, ["label", "digest"], "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
