@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import numbers
-from quarry.operators import gallery, keyed
+from quarry.operators import calibration, gallery, keyed
 from quarry.sources.tables import table
 
 DIM = 64
@@ -100,6 +100,13 @@ def q_impostor_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(numbers.cosine(F.col("pa"), F.col("pb")), 6).alias("cosine"))
 
 
+def q_calibrate_floor(spark: SparkSession, d: str) -> DataFrame:
+    """The likeness below which a photo doesn't belong to its gallery, from all galleries: one row."""
+    found = calibration.calibrate(_embeddings(spark, d), "label", "vec_id", "embedding", DIM)
+    schema = "certain_similarity double, bootstrap_mean double, bootstrap_sd double, n_galleries long, n_genuine long, n_impostor long, worst_genuine double, margin double"
+    return spark.createDataFrame([found] if found else [], schema)
+
+
 def q_near_dup_greedy(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     return gallery.keep_distinct(e, "label", "vec_id", "embedding", 0.35).groupBy("label").agg(F.count(F.lit(1)).alias("kept"))
