@@ -12,9 +12,8 @@ IMAGES, DESCRIPTION = 20, 2000
 
 
 def condition_state(condition: Column) -> Column:
-    """The feed's state of a vehicle; what is unknown counts as used."""
-    known = {"new": "new", "used": "used", "certified pre-owned": "cpo"}
-    return F.coalesce(*(F.when(F.lower(F.trim(condition)) == k, F.lit(v)) for k, v in known.items()), F.lit("used"))
+    """The feed's state of a vehicle: new or used; certified and unknown ones count as used."""
+    return F.when(F.lower(condition) == "new", "new").otherwise("used")
 
 
 def feed_rows(vehicles: DataFrame) -> DataFrame:
@@ -26,6 +25,25 @@ def feed_rows(vehicles: DataFrame) -> DataFrame:
     return live.select("id", "title", condition_state(F.col("condition")).alias("state"), numbers.bare_price(price).alias("price"), F.substring("description", 1, DESCRIPTION).alias("description"), *images)
 
 
+#: The feed's columns, but for the images, each with the vehicle's field it comes from.
+FEED = {
+    "vehicle_id": "vin", "title": "title", "description": "dealer_description", "url": "url", "make": "make", "model": "model", "year": "year", "trim": "trim", "vin": "vin", "body_style": "body_type",
+    "mileage.value": "mileage", "mileage.unit": None, "price": None, "currency": None, "state_of_vehicle": None, "availability": None, "exterior_color": None, "interior_color": "interior_color",
+    "transmission": "transmission", "drivetrain": "drivetrain", "fuel_type": "fuel_type", "address": "dealer_address", "dealer_name": "dealer_name", "dealer_phone": "dealer_phone",
+}
+
+
+def full_feed(records: DataFrame) -> DataFrame:
+    """Vehicle records (as pages give them, with delisted_at) in the feed's own columns, ready for `write_feed`."""
+    live = records.where(F.col("delisted_at").isNull() & (F.size("photo_urls") > 0) & (numbers.bare_price(F.col("display_price")) != "0"))
+    made = {
+        "vehicle_id": F.coalesce(text.empty_to_null(F.col("vin")), F.col("stock_number")), "description": F.substring("dealer_description", 1, DESCRIPTION), "mileage.unit": F.lit("MI"), "price": numbers.bare_price(F.col("display_price")),
+        "currency": F.lit("USD"), "state_of_vehicle": condition_state(F.col("condition")), "availability": F.lit("in stock"), "exterior_color": F.coalesce(text.empty_to_null(F.col("exterior_color_generic")), F.col("exterior_color_factory")),
+    }
+    columns = [F.coalesce(made[c] if c in made else F.col(field).cast("string"), F.lit("")).alias(c) for c, field in FEED.items()]
+    return live.select(*columns, *(F.coalesce(F.get("photo_urls", F.lit(i)), F.lit("")).alias(f"image[{i}].url") for i in range(IMAGES)))
+
+
 def display_price(condition: Column, price: Column, sticker_msrp: Column, rows: Column) -> Column:
     """What a post shows: new vehicles at the sticker's or the listed MSRP."""
     listed = F.get(F.filter(rows, lambda r: F.upper(F.trim(r["label"])) == "MSRP"), F.lit(0))["text"]
@@ -166,7 +184,7 @@ _SQL_PATH = r"regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)',
 
 ORACLES = {
     "feed_rows": f"""WITH {_SQL_VEHICLES}
-        SELECT id, title, CASE lower(condition) WHEN 'new' THEN 'new' WHEN 'certified pre-owned' THEN 'cpo' ELSE 'used' END AS state,
+        SELECT id, title, CASE lower(condition) WHEN 'new' THEN 'new' ELSE 'used' END AS state,
             round_even(round(price, 2), 0)::BIGINT::VARCHAR AS price, left(description, 2000) AS description, {', '.join(f"photos[{i}] AS image_{i}" for i in range(1, 21))}
         FROM vehicles WHERE delisted_at IS NULL AND priced AND price <> 0 AND len(photos) > 0""",
     "money_parse": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN round_even(round(p_retailprice, 1), 0)::BIGINT::VARCHAR END AS price FROM part",

@@ -38,19 +38,20 @@ def hook(headline: Column, price: Column, mileage: Column, longest: int = 125) -
     return F.when(F.length(long) <= longest, long).otherwise(F.concat_ws(" | ", headline, price))
 
 
-def trimmed(head: Column, facts: dict[str, Column], tags: Column, limit: int = THREADS_LIMIT) -> Column:
+def trimmed(hook_line: Column, facts: dict[str, Column], call: Column, tags: Column, limit: int = THREADS_LIMIT) -> Column:
     """A short post: whole facts go, in TRIM_ORDER, until the text with all tags fits; then tags from the end; at
     last it is cut at a space. One expression per step of the fixed order, so it stays in the engine."""
 
     def post(gone: int, n_tags: Column) -> Column:
         kept = [facts[k] for k in FACT_ORDER if k in facts and k not in TRIM_ORDER[:gone]]
-        return F.concat_ws("\n", head, text.empty_to_null(F.array_join(F.array_compact(F.array(*kept, F.lit(None).cast("string"))), "\n")), text.empty_to_null(F.array_join(F.slice(tags, 1, F.greatest(n_tags, F.lit(0))), " ")))
+        shown = text.empty_to_null(F.array_join(F.array_compact(F.array(*kept, F.lit(None).cast("string"))), " · "))
+        return F.concat_ws("\n\n", hook_line, shown, call, text.empty_to_null(F.array_join(F.slice(tags, 1, F.greatest(n_tags, F.lit(0))), " ")))
 
     every = F.size(tags)
     steps = [post(gone, every) for gone in range(len(TRIM_ORDER) + 1)]
     steps += [post(len(TRIM_ORDER), every - i) for i in range(1, THREADS_TAGS + 1)]
     fits = F.coalesce(*(F.when(F.length(s) <= limit, s) for s in steps))
-    cut = F.regexp_replace(F.substring(steps[-1], 1, limit), r"\s+\S*$", "")
+    cut = F.regexp_replace(F.regexp_replace(F.substring(steps[-1], 1, limit), " [^ ]*$", ""), "[ ·—\n]+$", "")
     return F.concat(F.coalesce(fits, cut), F.lit("\n"))
 
 
@@ -71,35 +72,62 @@ def _fresh(items: Column, earlier: Column) -> Column:
     return F.filter(items, lambda x, i: ~F.array_contains(earlier, text.feature_key(x)) & (F.array_position(keys, text.feature_key(x)) == i + 1))
 
 
-#: Concepts with what stands for them in equipment text, and words too common to tell a concept.
-CONCEPTS = {"heated seats": ["heated seat", "heated front seat"], "sunroof": ["sunroof", "moonroof", "panoramic roof"], "navigation": ["navigation", "nav system"], "leather": ["leather"], "third row": ["third row", "3rd row"]}
-GENERIC = {"seats", "system", "row", "with", "and"}
-STOPWORDS = {"a", "an", "the", "with", "and", "or", "that", "has", "have", "find", "show", "me", "in", "for"}
+#: Concepts in order with what stands for them in equipment text, words that alone don't tell a
+#: concept, words without meaning in a query, and the trims that are looked for.
+CONCEPTS = {
+    "console": ["console"],
+    "bucket seat": ["bucket"],
+    "bench seat": ["bench", "split fold", "split-fold", "flip-up", "flip up", "40/20/40", "60/40", "50/50"],
+    "captain's chairs": ["captain"],
+    "third row": ["3rd row", "third row", "3rd-row"],
+    "heated seats": ["heated seat", "htd seat", "htd/ventilated", "heated, "],
+    "ventilated seats": ["ventilated", "cooled seat"],
+    "leather": ["leather"],
+    "moonroof": ["moonroof", "sunroof"],
+    "navigation": ["navigation", "nav system"],
+    "tow package": ["tow", "trailer tow", "5th wheel", "gooseneck"],
+    "running boards": ["running board", "side step"],
+    "bedliner": ["bedliner", "bed liner"],
+    "tonneau cover": ["tonneau"],
+    "4wd": ["4x4", "four wheel drive", "4wd"],
+    "diesel": ["power stroke", "diesel", "duramax", "cummins"],
+    "remote start": ["remote start"],
+    "power seat": ["power driv", "power pass", "pwr driv", "pwr pass", "power seat"],
+}
+GENERIC = {"seat", "seats", "row"}
+STOPWORDS = {"a", "an", "and", "the", "with", "no", "not", "without", "has", "have"}
+TRIMS = (
+    "xl", "xlt", "lariat", "king ranch", "platinum", "limited", "raptor", "badlands", "big bend", "outer banks", "sasquatch", "tremor", "sport", "premium", "select",
+    "se", "sel", "sport utility", "base", "custom", "luxe", "n line", "st line", "sle", "denali", "at4", "z71", "trail boss", "high country",
+)
+#: Body types with the tags people search for, and the words of a price disclosure.
+BODY_TAGS = {
+    "suv": "SUV", "sport utility": "SUV", "truck": "Truck", "pickup": "Truck", "crew cab pickup": "Truck", "sedan": "Sedan", "coupe": "Coupe",
+    "convertible": "Convertible", "hatchback": "Hatchback", "van": "Van", "cargo van": "WorkVan", "minivan": "Minivan", "wagon": "Wagon",
+}
+INCENTIVES = ("price includes", "rebate", "incentive", "discount", "cash allowance")
+_DENIED = r"\b(?:no|not|without)\s+(.+?)(?=,| and |$)"
 
 
 class Search:
     """What a query asks for: model terms, groups of wanted words, unwanted words."""
 
-    def __init__(self, query: str, trims: Iterable[str] = ()):
-        rest, self.models, self.wanted, self.unwanted = query.lower(), [], [], []
-        for trim in trims:
-            if re.search(rf"\b{re.escape(trim.lower())}\b", rest):
-                self.models.append(trim.lower())
-        self.models += re.findall(r"\bf-?\d{3}(?:sd)?\b", rest)
-        for denied in re.findall(r"\b(?:no|not|without)\s+(.+?)(?=,| and |$)", rest):
-            self.unwanted += self._words(denied)
-        rest = re.sub(r"\b(?:no|not|without)\s+.+?(?=,| and |$)", "", rest)
-        for part in re.split(r",| and ", rest):
-            for m in self.models:
-                part = part.replace(m, "")
-            left = " ".join(w for w in part.split() if w not in STOPWORDS)
-            if left:
-                self.wanted.append(self._words(left))
+    def __init__(self, query: str, trims: Iterable[str] = TRIMS):
+        asked = query.lower()
+        self.models = [t for t in map(str.lower, trims) if re.search(rf"\b{re.escape(t)}\b", asked)] + re.findall(r"\bf-?\d{3}(?:sd)?\b", asked)
+        self.unwanted = [w for denied in re.findall(_DENIED, asked) for w in self._words(denied)]
+        phrases = map(self._bare, re.split(r",| and ", re.sub(_DENIED, "", asked)))
+        self.wanted = [self._words(p) for p in phrases if p]
+
+    def _bare(self, phrase: str) -> str:
+        for m in self.models:
+            phrase = phrase.replace(m, "")
+        return " ".join(w for w in phrase.split() if w not in STOPWORDS)
 
     @staticmethod
     def _words(phrase: str) -> list[str]:
         """Of the first concept that shares a telling word; else the phrase itself."""
-        told = set(phrase.split()) - GENERIC
+        told = set(re.findall(r"[a-z0-9/]+", phrase)) - GENERIC
         return next((words for name, words in CONCEPTS.items() if told & set(name.split())), [phrase.strip()])
 
     def column(self, model: Column, equipment: Column) -> Column:
@@ -112,6 +140,17 @@ class Search:
         return out & ~has(self.unwanted) if self.unwanted else out
 
 
+def is_disclosure(description: Column) -> Column:
+    """A price disclosure, which new vehicles' posts leave out."""
+    return description.contains("$") & F.lower(description).rlike("|".join(INCENTIVES))
+
+
+def body_tag(body: Column) -> Column:
+    """The tag of the longest known body type that the text contains; else a tag of the text itself."""
+    known = sorted(BODY_TAGS, key=len, reverse=True)
+    return F.coalesce(*(F.when(F.lower(body).contains(k), F.lit(f"#{BODY_TAGS[k]}")) for k in known), text.hashtag(body))
+
+
 def searchable(records: DataFrame, sources: dict[str, DataFrame], key: str) -> DataFrame:
     """Records with the rows of each source beside them, if any source has one."""
     out = records
@@ -142,7 +181,7 @@ def q_caption(spark: SparkSession, d: str) -> DataFrame:
 def q_threads_trim(spark: SparkSession, d: str) -> DataFrame:
     v = vehicles(spark, d)
     facts = {"mileage": F.concat(F.col("p_size").cast("string"), F.lit(" miles")), "color": F.repeat("p_name", F.lit(6)), "engine": F.repeat("p_type", F.col("p_size").cast("int")), "stock": F.concat(F.lit("Stock "), F.col("id").cast("string"))}
-    post = trimmed(F.col("title"), facts, F.array(F.lit("#parts"), F.concat(F.lit("#"), F.col("p_type"))), 150)
+    post = trimmed(F.col("title"), facts, F.lit("Come and see it"), F.array(F.lit("#parts"), F.concat(F.lit("#"), F.col("p_type"))), 150)
     return v.select("id", post.alias("post"))
 
 
@@ -157,7 +196,7 @@ def q_one_owner_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_equipment_search(spark: SparkSession, d: str) -> DataFrame:
-    wanted = Search("the License, leather not navigation")
+    wanted = Search("the License and leather seats, not navigation")
     low = F.lower("text")
     docs = table(spark, d, "documents")
     found = Search("licensed not pathetic")

@@ -26,7 +26,9 @@ def values(spark, column, rows):
         (text.image_url_upsized, {"http://a/640x480/b/10x10/": "http://a/2048x2048/b/2048x2048/"}),
         (numbers.bare_price, {"$25,382": "25382", "+2.5": "2", "3.5": "4", "Call": None, "": None}),
         (numbers.truthy, {"0": False, "0.0": False, "1": True, "x": True, "": False, "NaN": True}),
-        (feed.condition_state, {"New": "new", " CERTIFIED PRE-OWNED": "cpo", "odd": "used", None: "used"}),
+        (feed.condition_state, {"New": "new", "CERTIFIED PRE-OWNED": "used", "odd": "used", None: "used"}),
+        (posts.body_tag, {"Crew Cab Pickup": "#Truck", "Cargo Van": "#WorkVan", "Dune Buggy": "#DuneBuggy"}),
+        (posts.is_disclosure, {"Price includes $500": True, "a $500 wheel": False, "rebate": False}),
     ],
 )
 def test_columns(spark, column, cases):
@@ -46,20 +48,20 @@ def test_money_is_truncated_in_posts(spark):
 def test_short_post_drops_facts_before_tags(spark):
     facts = {"mileage": F.lit("m" * 20), "stock": F.lit("s" * 20), "vin": F.lit(None).cast("string")}
     tags = F.array(F.lit("#a"), F.lit("#b"))
-    made = lambda limit: spark.range(1).select(posts.trimmed(F.lit("head line"), facts, tags, limit)).first()[0]
-    assert made(500) == "head line\n" + "m" * 20 + "\n" + "s" * 20 + "\n#a #b\n"
-    assert made(40) == "head line\n" + "m" * 20 + "\n#a #b\n"
-    assert made(15) == "head line\n#a #b\n"
-    assert made(12) == "head line\n#a\n"
+    made = lambda limit: spark.range(1).select(posts.trimmed(F.lit("head line"), facts, F.lit("go"), tags, limit)).first()[0]
+    assert made(500) == "head line\n\n" + "m" * 20 + " · " + "s" * 20 + "\n\ngo\n\n#a #b\n"
+    assert made(45) == "head line\n\n" + "m" * 20 + "\n\ngo\n\n#a #b\n"
+    assert made(22) == "head line\n\ngo\n\n#a #b\n"
+    assert made(17) == "head line\n\ngo\n\n#a\n"
     assert made(6) == "head\n"
 
 
 def test_search_compiles_to_predicates(spark):
-    s = posts.Search("F-150 with sunroof and heated seats, no leather", ["XLT"])
-    assert s.models == ["f-150"]
-    assert s.wanted == [posts.CONCEPTS["sunroof"], posts.CONCEPTS["heated seats"]]
+    s = posts.Search("XLT F-150 with moonroof and heated seats, no leather seats")
+    assert s.models == ["xlt", "f-150"]
+    assert s.wanted == [posts.CONCEPTS["moonroof"], posts.CONCEPTS["heated seats"]]
     assert s.unwanted == ["leather"]
-    rows = [(1, "ford f-150", "moonroof heated seat"), (2, "ford f-150", "moonroof heated seat leather"), (3, "ford f-250", "moonroof heated seat"), (4, "ford f-150", None)]
+    rows = [(1, "ford f-150 xlt", "moonroof heated seat"), (2, "ford f-150 xlt", "moonroof heated seat leather"), (3, "ford f-250 xlt", "moonroof heated seat"), (4, "ford f-150 xlt", None)]
     df = spark.createDataFrame(rows, "id int, model string, equipment string")
     assert [r.id for r in df.where(s.column(F.col("model"), F.col("equipment"))).collect()] == [1]
     assert df.where(posts.Search("").column(F.col("model"), F.col("equipment"))).count() == 4

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from quarry.plans import normalize, stickers
+from quarry.plans import feed, normalize, stickers
 
 
 def page(payload, name="window.vehicleData ="):
@@ -51,3 +51,12 @@ def test_stamps_stay(spark):
     records = spark.createDataFrame([("a", "old"), ("b", None), ("c", None)], "vin string, delisted_at string")
     gone = spark.createDataFrame([("a",), ("b",), ("b",)], "vin string")
     assert {tuple(r) for r in stickers.stamped(records, gone, "vin", F.lit("now")).fillna("").collect()} == {("a", "old"), ("b", "now"), ("c", "")}
+
+
+def test_feed_of_pages(spark):
+    html = page({"vin": "V1", "year": 2021, "make": "Ford", "used": True, "displayPrice": "$25,382.50", "visual": {"combinedPhotos": [{"source": f"http://i/1x1/{i}"} for i in range(30)]}})
+    free = page({"vin": "V2", "price": 0, "visual": {"combinedPhotos": [{"source": "x"}]}})
+    pages = spark.createDataFrame([("u", html), ("w", free), ("z", page({"vin": "V3", "price": 5}))], "url string, html string")
+    rows = feed.full_feed(normalize.vehicles(pages).withColumn("delisted_at", F.lit(None).cast("string"))).collect()
+    assert [(r.vehicle_id, r.title, r.price, r.state_of_vehicle, r["image[19].url"], r["trim"]) for r in rows] == [("V1", "2021 Ford", "25382", "used", "http://i/2048x2048/19", "")]
+    assert len(rows[0]) == len(feed.FEED) + feed.IMAGES
