@@ -230,6 +230,12 @@ ORACLES = {
     "caption": f"SELECT p_partkey AS id, concat_ws(chr(10), {_SQL_TITLE}, {_SQL_MONEY}, CASE WHEN p_size >= 10 THEN 'Size ' || p_size END, p_type, '#parts') AS caption FROM part",
     "hook_line": f"""WITH h AS (SELECT p_partkey, {_SQL_TITLE} || ' | ' || {_SQL_MONEY} AS short, CASE WHEN p_size >= 10 THEN ' | ' || p_size || ' mi' ELSE '' END AS more FROM part)
         SELECT p_partkey AS id, CASE WHEN length(short || more) <= 28 THEN short || more ELSE short END AS hook FROM h""",
+    "hashtags": """WITH w AS (SELECT p_partkey, p_type, replace(p_brand, '#', '') AS brand, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || x[2:]), '') AS name FROM part)
+        SELECT p_partkey, concat_ws(' ', CASE WHEN length(brand || name) <= 28 THEN '#' || brand || name END, '#' || p_type, '#' || brand) AS tags FROM w""",
+    "threads_trim": f"""WITH f AS (SELECT p_partkey AS id, {_SQL_TITLE} AS head, chr(10) || chr(10) AS gap, p_size || ' miles' AS mileage, repeat(p_name, 6) AS color, repeat(p_type, p_size) AS engine, 'Stock ' || p_partkey AS stock, '#parts #' || p_type AS tags FROM part),
+        c AS (SELECT id, unnest([concat_ws(gap, head, concat_ws(' · ', mileage, color, engine, stock), 'Come and see it', tags), concat_ws(gap, head, concat_ws(' · ', mileage, color, engine), 'Come and see it', tags),
+            concat_ws(gap, head, concat_ws(' · ', mileage, color), 'Come and see it', tags), concat_ws(gap, head, mileage, 'Come and see it', tags), concat_ws(gap, head, 'Come and see it', tags)]) AS post, unnest([1, 2, 3, 4, 5]) AS step FROM f)
+        SELECT id, arg_min(post, step) || chr(10) AS post FROM c WHERE length(post) <= 150 GROUP BY 1""",
     "one_owner_flag": r"SELECT doc_id, coalesce(regexp_matches(text, '(?i)\b1[\s-]*owner\b') OR regexp_matches(text, '(?i)\bone\b'), false) AS flag FROM documents",
     "equipment_search": """SELECT doc_id, contains(lower(text), 'license') AND contains(lower(text), 'leather') AND NOT (contains(lower(text), 'navigation') OR contains(lower(text), 'nav system')) AS strict
         FROM documents WHERE contains(lower(text), 'licensed') AND NOT contains(lower(text), 'pathetic')""",
