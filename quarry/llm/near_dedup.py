@@ -12,11 +12,17 @@ so no region, however hot, lands in one task; what stands at the borders of task
 small pass. Signatures estimate the similarity of each meeting pair; only pairs far below the threshold
 (over four standard deviations) go. Confirmation: full sets of the classes in the other pairs are made
 again from their texts and compared exactly. Pairs already connected needn't be compared: the best
-pair of each class is confirmed first, then all that still join two components.
+pair of each class is confirmed first, then all that still join two components. Crowded classes: where
+too few of a class's regions are so small that all in them meet, the orders can't be relied on, and the
+class also goes through an exact prefix-filter join: of two sets at the threshold the rarest shingles,
+as many as may be missing and one, share one. All pairs of crowded classes in different components that
+do so are compared.
 
 Scale: signatures of classes are shuffled once per tree as one byte per value; texts are read twice
-and only shingle sets of classes in candidate pairs are shuffled. The filter of the second reading
-is a bitmap of fixed size.
+and only shingle sets of classes in candidate pairs and of crowded classes are shuffled. The filter of
+the second reading is a bitmap of fixed size, as is the table of counts that says which shingles are rare
+(any order of the shingles gives the same pairs; a good one makes their lists short). A shingle that
+occurs in one component only is left out before lists are joined, so a hot group of copies makes no pairs.
 
 Defined results: null or empty text has no shingles and links with nothing; text with fewer words
 than a shingle is one shingle; rows with a null id take part and count last when a smallest id is
@@ -43,6 +49,10 @@ K = TREES * DEPTH
 FILTER_BITS, MAX_WORDS = 1 << 24, 500_000
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
 SLACK = 4.5
+#: A pair may be left to the regions in which all meet if it shares none of them with this probability at most.
+MISS = 1e-5
+#: Bits of a shingle that say under which count it stands (8 MB).
+COUNT_BITS = 20
 _SKETCH = "doc_id long, k1 long, k2 long, n_shingles long, signature binary"
 _ORDER = "tree int, key binary, node long, n long, bytes binary"
 _MET = "a long, b long, agree int, edge boolean, tree int, key binary, node long, n long, bytes binary"
@@ -240,9 +250,21 @@ def _meet(percent: int, least: int, edges: bool) -> Callable[[Iterator[pa.Record
     return run
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+def _crowded(orders: DataFrame, percent: int) -> DataFrame:
+    """node: classes with too few regions in which all meet (of two classes that share a region both count it)."""
+    enough = next((m for m in range(1, TREES) if (1 - percent / 100) ** m <= MISS), TREES)
+    placed = orders.select("tree", F.substring("key", 1, 4).alias("first"), "node")
+    large = placed.groupBy("tree", "first").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > NEAR + 1)
+    large = materialize(large.select("tree", "first"), "large")
+    out = placed.join(large, ["tree", "first"]).groupBy("node").agg(F.count(F.lit(1)).alias("trees")).where(F.col("trees") > TREES - enough)
+    out = materialize(out.select("node"), "crowded")
+    discard(large)
+    return out
+
+
+def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes (a > b) that meet in some order and whose signatures agree well enough, with the
-    number of agreeing values."""
+    number of agreeing values; and the crowded classes."""
     p = percent / 100
     least = int(np.floor(K * p - SLACK * np.sqrt(K * p * (1 - p))))
     orders = materialize(classes.select("node", "n_shingles", "signature").mapInArrow(_orders, _ORDER), "orders")
@@ -251,10 +273,11 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     borders = met.where("edge").select("tree", "key", "node", "n", "bytes")
     again = borders.repartition("tree", F.substring("key", 1, 4)).sortWithinPartitions("tree", "key", "node").mapInArrow(_meet(percent, least, False), _MET)
     pairs = met.where(~F.col("edge")).unionByName(again).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    crowded = _crowded(orders, percent)
     discard(orders)
     pairs = materialize(pairs, "pairs")
     discard(met)
-    return pairs
+    return pairs, crowded
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -317,9 +340,67 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
+def _counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets shingles occur, those with the same first COUNT_BITS together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                shingles = np.frombuffer(b"".join(batch.column(0)[low : low + 1024].to_pylist()), np.uint64)
+                counts += np.bincount((shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
+
+    found = sets.select("set").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixed(sets: DataFrame, percent: int) -> DataFrame:
+    """A row for each of the rarest shingles of each set (node, root, set): of two sets at the threshold these share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                own, sizes = [], []
+                for raw in part.column(2).to_pylist():
+                    shingles = np.frombuffer(raw, np.uint64)
+                    n = len(shingles)
+                    order = np.lexsort((shingles, counts.value[(shingles >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                    own.append(shingles[order[: n + percent * n // -100 + 1]])
+                    sizes.append(n)
+                times = [len(x) for x in own]
+                columns = [np.concatenate(own).view(np.int64), *(np.repeat(c.to_numpy(), times) for c in part.columns[:2]), np.repeat(sizes, times), np.concatenate([np.arange(t) for t in times])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shingle", "node", "root", "n", "at"])
+
+    return materialize(sets.select("node", "root", "set").mapInArrow(run, "shingle long, node long, root long, n long, at long"), "prefixes")
+
+
+def _apart(crowded: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """All pairs of crowded classes in different components that may be at the threshold."""
+    own = sets.join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = materialize(own.select("node", "root", "set"), "crowded-sets")
+    rows = _prefixed(own, percent)
+    several = materialize(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"), "several")
+    live = materialize(rows.join(several, "shingle"), "live")
+    discard(own, rows, several)
+    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at"))) for side in "ab")
+    # What the sets can have in common, counted from the first shingle that they share.
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    able = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    met = x.join(y, (x.shingle == y.shingle) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & able)
+    out = materialize(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "apart")
+    discard(live)
+    return out
+
+
+def _linked(pairs: DataFrame, crowded: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, words: int) -> DataFrame:
     """node, root for all classes with a confirmed link, written."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded).distinct()
     needed = materialize(classes.join(ends, "node", "left_semi").select("node", "doc_id", "k1", "k2"), "needed")
     sets = materialize(_sets(docs, needed, words), "sets")
     ranked = pairs.select("a", "b", "agree")
@@ -330,9 +411,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int,
     left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = _confirmed(apart, sets, percent)
-    discard(pairs, needed, sets, roots)
-    out = materialize(components(first.unionByName(second)), "roots")
-    discard(first, second)
+    discard(pairs, needed, roots)
+    linked = materialize(components(first.unionByName(second)), "roots")
+    met = _apart(crowded, sets, linked, percent)
+    third = _confirmed(met, sets, percent)
+    discard(first, second, crowded, sets, met)
+    out = materialize(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third)), "roots")
+    discard(linked, third)
     return out
 
 
@@ -346,7 +431,7 @@ def groups(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "do
     classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     classes = materialize(classes.select("k1", "k2", "least.doc_id", "n_shingles", "signature", F.monotonically_increasing_id().alias("node")), "classes")
     discard(sketch)
-    roots = _linked(_candidates(classes, percent), docs, classes, percent, words)
+    roots = _linked(*_candidates(classes, percent), docs, classes, percent, words)
     placed = materialize(classes.select("node", "k1", "k2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     labels = materialize(placed.join(least, "root").select("k1", "k2", "component_id"), "labels")

@@ -3,7 +3,9 @@
 import itertools
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from quarry.llm import near_dedup, vector_dedup
@@ -70,6 +72,30 @@ def test_groups_are_those_of_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_pairs_among_form_letters_are_found(spark):
+    rng = random.Random(8)
+    form = [f"w{i}" for i in range(200)]
+    new = lambda words, slots: [f"x{rng.random()}" if i in slots else w for i, w in enumerate(words)]
+    texts = []
+    for i in range(3000):  # about 0.7 alike, all of them
+        slots = rng.sample(range(5, 200, 5), 7)
+        texts.append(new(form, slots[:4]))
+        if i % 20 == 0:  # 0.86
+            texts.append(new(texts[-1], slots[4:]))
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for _, t in rows]
+    number = {s: i for i, s in enumerate(s for s, n in Counter(s for x in sets for s in x).items() if n > 1)}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        has[i, [number[s] for s in x if s in number]] = 1
+    both, sizes = has @ has.T, np.array([len(x) for x in sets])
+    pairs = np.argwhere(np.triu(100 * both >= 85 * (sizes[:, None] + sizes - both), 1)).tolist()
+    assert len(pairs) == 150
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(len(rows))} | {b: a for a, b in pairs}
+
+
 def test_one_of_each_group_is_kept_whole(spark):
     text = " ".join(f"w{i}" for i in range(100))
     df = spark.createDataFrame([(3, text, "a"), (2, text + " end", "b"), (9, "other", "c"), (4, None, "d")], "doc_id long, text string, _gone string")
