@@ -36,7 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, materialize, text_of
@@ -53,7 +53,7 @@ SLACK = 4.5
 MISS = 1e-5
 #: Bits of a shingle that say under which count it stands (8 MB).
 COUNT_BITS = 20
-_SKETCH = "doc_id long, k1 long, k2 long, n_shingles long, signature binary"
+_SKETCH = "doc_id long, t1 long, t2 int, k1 long, k2 long, n_shingles long, signature binary"
 _ORDER = "tree int, key binary, node long, n long, bytes binary"
 _MET = "a long, b long, agree int, edge boolean, tree int, key binary, node long, n long, bytes binary"
 _MET_SCHEMA = pa.schema(
@@ -143,8 +143,8 @@ def _sketch(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 digests = [_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signatures(sets), pa.binary())],
-                    names=["doc_id", "k1", "k2", "n_shingles", "signature"],
+                    [part.column(0), *part.columns[2:], pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signatures(sets), pa.binary())],
+                    names=["doc_id", "t1", "t2", "k1", "k2", "n_shingles", "signature"],
                 )
 
     return run
@@ -421,11 +421,16 @@ def _linked(pairs: DataFrame, crowded: DataFrame, docs: DataFrame, classes: Data
     return out
 
 
-def groups(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2")]
+
+
+def _labelled(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, t1, t2, k1, k2, n_shingles of each document, and k1, k2, root, component_id of each class, written."""
+    text = text_of(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *_keys(text))
     sketch = materialize(docs.mapInArrow(_sketch(words), _SKETCH), "sketch")
-    rows = materialize(sketch.select("doc_id", "k1", "k2", "n_shingles"), "rows")
+    rows = materialize(sketch.select("doc_id", "t1", "t2", "k1", "k2", "n_shingles"), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
     # Every row of a class has the same signature.
     classes = sketch.where("n_shingles > 0").groupBy("k1", "k2").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -434,15 +439,37 @@ def groups(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "do
     roots = _linked(*_candidates(classes, percent), docs, classes, percent, words)
     placed = materialize(classes.select("node", "k1", "k2", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    labels = materialize(placed.join(least, "root").select("k1", "k2", "component_id"), "labels")
+    labels = materialize(placed.join(least, "root").select("k1", "k2", "root", "component_id"), "labels")
     discard(classes, roots, placed, least)
+    return rows, labels
+
+
+def groups(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    rows, labels = _labelled(docs, percent, words, id_col, text_col)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(labels, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their group, whole (rows with a null id stay only
-    in groups without another id)."""
-    gone = groups(docs, percent, words, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = materialize(gone, "gone")
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each group of `docs`, whole: that with the smallest id (a null id counts last; of several texts
+    under it, that with the smallest hash; of repeated rows, any). Rows without shingles stay."""
+    rows, labels = _labelled(docs, percent, words, id_col, text_col)
+    keys = rows.where("n_shingles > 0").join(labels, ["k1", "k2"])
+    keys = materialize(keys.groupBy("root", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("copies")), "keys")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    least = materialize(keys.groupBy("root").agg(F.min(place).alias("least")), "least")
+    fates = keys.join(least, "root").withColumn("first", place == F.col("least"))
+    fates = fates.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "first", "copies")
+    gone, repeated = materialize(fates.where("NOT first"), "gone"), materialize(fates.where("first AND copies > 1"), "repeated")
+    discard(rows, labels, keys, least)
+    own = [F.col(id_col).cast("long"), *_keys(text_of(text_col))]
+
+    def among(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return frame.join(keys, own[0].eqNullSafe(keys["_id"]) & (own[1] == keys["_t1"]) & (own[2] == keys["_t2"]), how)
+
+    left = among(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return left
+    one = among(left, repeated, "left_semi").withColumns({f"_key{i}": c for i, c in enumerate(own)}).dropDuplicates(["_key0", "_key1", "_key2"])
+    return among(left, repeated, "left_anti").unionByName(one.select(*docs.columns))

@@ -102,6 +102,14 @@ def test_one_of_each_group_is_kept_whole(spark):
     assert sorted((r.doc_id, r.text, r._gone) for r in near_dedup.keep_one(df).fillna("", ["text"]).collect()) == [(2, text + " end", "b"), (4, "", "d"), (9, "other", "c")]
 
 
+def test_rows_and_not_ids_are_dropped(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(100))
+    rows = [(1, text("a")), (None, text("a") + " end"), (None, text("b")), (5, text("a") + " fin"), (5, text("c")), (7, text("d")), (7, text("d")), (None, text("e")), (None, text("e")), (8, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.keep_one(df).collect()), key=str)
+    assert got == sorted([(1, text("a")), (None, text("b")), (5, text("c")), (7, text("d")), (None, text("e")), (8, ""), (None, None)], key=str)
+
+
 def test_empty_table(spark):
     assert near_dedup.groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert vector_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
