@@ -1,8 +1,10 @@
 """Main text of raw HTML: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
 A streaming pass over the standard library's parser events cuts a page into blocks. Blocks inside
-elements that announce themselves as something else (navigation, footers, asides, forms, adverts,
-notices, comments ...) never count. Each remaining block is a line with a ratio of text outside
+elements that are something else by their tag or role (navigation, footers, asides, forms ...) or can't be
+seen never count. Blocks inside elements that a class or id calls something else (adverts, notices, comments
+...) weigh less, and go if they are no content at that weight; such a name counts for nothing on headings, inline elements and
+paragraphs of an article, and on an element that holds the article or most of the page's text. Each block is a line with a ratio of text outside
 links to tags; ratios are smoothed with a Gaussian and lines at or over their standard deviation are
 content. The region that is returned is the element that holds the content: the innermost article
 or main element with most of it, else the innermost element with nearly all of it; in the
@@ -48,6 +50,8 @@ MARKS = frozenset(
 )
 #: An element of the first kind ends open ones of the second when it starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a block weighs whose element is called something else.
+WEAK = 0.25
 _CONTAINERS = frozenset("table ul ol dl select body html".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -67,7 +71,7 @@ class _Page(HTMLParser):
         self.forms = forms  # forms are left out
         self.open: list[tuple[str, bool, int]] = []  # tag, left out, box
         self.counts: dict[str, int] = {}
-        self.parents, self.kinds = [-1], [""]  # boxes: block elements that hold others
+        self.parents, self.kinds, self.marked = [-1], [""], [False]  # boxes: block elements that hold others
         self.blocks: list[_Block] = []
         self.left_out = 0
         self.pieces: list[str] = []
@@ -80,9 +84,13 @@ class _Page(HTMLParser):
             return True
         if (attrs.get("role") or "").strip().lower() in ROLES and (self.forms or attrs["role"] != "form"):
             return True
+        return tag == "header" and not (self.counts.get("article") or self.counts.get("main"))
+
+    def _is_marked(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        """Whether a class or id calls the element something else."""
         within = self.counts.get("article") or self.counts.get("main")
-        if tag == "header" and not within:
-            return True
+        if tag not in BLOCK or tag in HEADING or (tag == "p" and within):
+            return False
         marks = {w.lower() for name in ("class", "id") for w in _WORD.findall(attrs.get(name) or "")} & MARKS
         if tag in ("html", "body", "main"):
             return False
@@ -128,10 +136,12 @@ class _Page(HTMLParser):
         attributes = dict(attrs)
         other = self._is_other(tag, attributes)
         box = self.open[-1][2] if self.open else 0
-        if tag in BLOCK and tag != "p" and tag not in HEADING:
+        marked = self._is_marked(tag, attributes)
+        if tag in BLOCK and tag not in HEADING and (tag != "p" or marked):
             is_main = tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
             self.parents.append(box)
             self.kinds.append("main" if is_main else tag)
+            self.marked.append(marked)
             box = len(self.parents) - 1
         self.open.append((tag, other, box))
         self.counts[tag] = self.counts.get(tag, 0) + 1
@@ -171,13 +181,39 @@ def _smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[reach : reach + len(ratios)] / whole
 
 
+def _weights(page: _Page) -> np.ndarray:
+    """What each block weighs: WEAK inside a marked element, unless that holds the article or most of the text."""
+    dense = np.zeros(len(page.parents))
+    for b in page.blocks:
+        dense[b.box] += len(b.text) - b.linked
+    for box in range(len(dense) - 1, 0, -1):  # a box comes after those around it
+        dense[page.parents[box]] += dense[box]
+    mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and not page.marked[i] and dense[i] >= 0.3 * dense[0] and dense[i]]
+    around = set()
+    for i in mains:
+        up = page.parents[i]
+        while up >= 0:
+            around.add(up)
+            up = page.parents[up]
+    weights = np.ones(len(dense))
+    for box in range(1, len(dense)):
+        weak = page.marked[box] and box not in around and (bool(mains) or dense[box] <= 0.5 * dense[0])
+        weights[box] = WEAK if weak else weights[page.parents[box]]
+    return weights[[b.box for b in page.blocks]]
+
+
 def _region(page: _Page) -> list[_Block]:
-    blocks = page.blocks
-    ratios = _smoothed(np.array([(len(b.text) - b.linked) / (b.tags + 1) for b in blocks]))
-    content = ratios >= min(float(ratios.std()), float(ratios.max()))
+    blocks, weights = page.blocks, _weights(page)
+    own = weights * np.array([(len(b.text) - b.linked) / (b.tags + 1) for b in blocks])
+    ratios = _smoothed(own)
+    least = min(float(ratios.std()), float(ratios.max()))
+    # A neighbour's text doesn't make content of a block that weighs less.
+    content = (ratios >= least) & ((weights == 1) | (own >= least))
+    if not content.any():
+        content = ratios >= least
     held = np.zeros(len(page.parents))
-    for b, is_content in zip(blocks, content, strict=True):
-        held[b.box] += is_content * len(b.text)
+    for b, is_content, weight in zip(blocks, content, weights, strict=True):
+        held[b.box] += is_content * weight * len(b.text)
     for box in range(len(held) - 1, 0, -1):  # a box comes after those around it
         held[page.parents[box]] += held[box]
     mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and held[i] >= 0.3 * held[0] and held[i]]
@@ -201,7 +237,7 @@ def _region(page: _Page) -> list[_Block]:
         while low > chosen[0] and blocks[low - 1].heading:
             low -= 1
         chosen = [i for i in chosen if low <= i <= high]
-    return [blocks[i] for i in chosen]
+    return [blocks[i] for i in chosen if content[i] or weights[i] == 1]
 
 
 def _blocks(html: str, forms: bool) -> _Page:
@@ -217,11 +253,23 @@ def _blocks(html: str, forms: bool) -> _Page:
     return page
 
 
+def _dense(page: _Page) -> int:
+    return sum(len(b.text) - b.linked for b in page.blocks)
+
+
+def _in_marked(page: _Page, box: int) -> bool:
+    while box >= 0 and not page.marked[box]:
+        box = page.parents[box]
+    return box >= 0
+
+
 def main_text(html: str) -> str:
     """The main text of a page."""
     page = _blocks(html, True)
-    if not page.blocks and "<form" in html.lower():  # some sites wrap the whole page in a form
-        page = _blocks(html, False)
+    if "<form" in html.lower() and all(_in_marked(page, b.box) for b in page.blocks):
+        whole = _blocks(html, False)  # some sites wrap the whole page in a form
+        if _dense(whole) > 2 * _dense(page):
+            page = whole
     return "\n".join(b.text for b in _region(page)) if page.blocks else ""
 
 

@@ -188,6 +188,25 @@ def test_main_text(html, said):
     assert html_text.main_text(html or "") == said
 
 
+_FIRST, _SECOND = "First sentence of a long running text that goes on, " * 6 + "here.", "Second sentence of the same running text, also long, " * 6 + "there."
+
+
+@pytest.mark.parametrize(
+    ("html", "said"),
+    [
+        ("<body><div class='wrapper has-sidebar'><article><p>{0}</p><p>{1}</p></article><div class='sidebar'><p>Side words</p></div></div></body>", "{0}\n{1}"),
+        ("<body><div class='has-sidebar'><form>Search words</form><p>{0}</p><p>{1}</p></div></body>", "{0}\n{1}"),
+        ("<body><div class='no-sidebar'><div><p>{0}</p><p>{1}</p></div><div class='sidebar'><p>Side words</p></div></div></body>", "{0}\n{1}"),
+        ("<body><nav><a href=x>Home</a></nav><div class='elementor-widget-theme-post-content'><p>{0}</p><p>{1}</p></div><div class='share'><a href=y>Share</a></div></body>", "{0}\n{1}"),
+        ("<body><article><h2 id='legal'>Legal</h2><p>{0}</p><p class='notice'>Noted here.</p><section id='search'><p>{1}</p></section><div class='ad'>Buy now</div><p>So <span class='social'>social</span> it is.</p></article></body>", "Legal\n{0}\nNoted here.\n{1}\nSo social it is."),
+        ("<body><form><div class='cookie'><p>Cookie words</p></div><p>{0}</p><p>{1}</p></form></body>", "{0}\n{1}"),
+        ("<body><div class='cookie'><p>Cookie words</p></div><form><p>{0}</p><p>{1}</p></form></body>", "{0}\n{1}"),
+    ],
+)
+def test_names_alone_do_not_remove_text(html, said):
+    assert html_text.main_text(html.format(_FIRST, _SECOND)) == said.format(_FIRST, _SECOND)
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.id, r.url, r.text) for r in html_text.extract(df).collect()), key=str) == sorted([(1, "u", ""), (1, "u", ""), (None, None, "a")], key=str)
