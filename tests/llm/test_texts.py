@@ -175,6 +175,14 @@ def test_telling_terms_are_generalised(spark):
     assert got[8].clean_text == "Zorblax alone" and all(not got[100 + i].spans for i in range(60))
 
 
+def test_terms_of_rare_entities_and_of_any_form(spark):
+    rows = [(1, "Lee wrote, then asked EMP-4471 about it. Why Lee left for EMP-4471 is open; so Lee has mail lee7@example.org, and EMP-4471 too")]
+    rows += [(10 + i, f"wrote then asked about it why left for is open so has mail and too number {i}") for i in range(80)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].clean_text == "[TERM] wrote, then asked [TERM] about it. Why [TERM] left for [TERM] is open; so [TERM] has mail [EMAIL], and [TERM] too"
+    assert all(not got[10 + i].spans for i in range(80))
+
+
 @pytest.mark.parametrize(
     ("html", "said"),
     [
