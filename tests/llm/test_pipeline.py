@@ -31,6 +31,13 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
 
 
+def test_near_dedup_stage_links_at_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 shingles
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.keep_one(spark, docs, DATA).collect()] == [1]
+
+
 def test_each_stage_takes_awkward_tables(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, "some text of a few words here", "en", "a", 29), (3, "mail bob@example.org now", None, "b", 24)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
