@@ -1,18 +1,22 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Training: at most `max_examples` labelled rows (those with the smallest hashes of their ids) are the
-example bank. Terms are words and beginnings of words; those whose presence in the bank goes with
-the label (G-test) span the vector space. Document frequencies of these terms are counted over all
-documents. The bank's vectors form an inverted index in blocks of examples with the largest weight
-of each term in each block; a query walks blocks by their bound and stops when no other block can
-change its k nearest, so the cosines found are exact. Nearest examples vote with weights that fall
-with distance. A logistic curve over the vote and the amount of evidence, fitted on the bank with each
-example left out of its own vote, calibrates the score.
-
-Scale: texts are read once for frequencies and once for scores, without a shuffle. What goes to all
-tasks is bounded by max_examples and max_terms, never by the corpus.
-
-Defined results: null or empty text, and text without any chosen term, gets the calibrated score of
+example bank. Terms are words and beginnings of words, and every term of the bank's texts counts: a term
+weighs (1 + log tf) * idf, and more the stronger its presence goes with the label in the bank (G-test), which
+raises weights and admits or excludes nothing. Document frequencies are counted over all documents.
+
+The bank's vectors form an inverted index. Examples stand in blocks, like ones together, and each frequent term
+has its largest weight in each block. For a text, the postings of its rare terms are summed up first, then those of its
+frequent terms in the most promising blocks; what the frequent terms can add at most in another block then says which
+of these can still change the k nearest, and their postings are read in those blocks alone. Neighbours
+and cosines are those of a full computation. Nearest examples vote with weights that fall with distance. A
+logistic curve over the vote and the nearness of the neighbours, fitted on the bank with each example (and all
+copies of its text) left out of its own vote, calibrates the score; the nearest examples are the evidence.
+
+Scale: texts are read once for frequencies and once for scores, without a shuffle of texts. What goes to the
+driver and to all tasks is bounded by max_examples, never by the corpus.
+
+Defined results: null, empty or blank text, and text without any term of the bank, gets the calibrated score of
 an empty vote; ids may be null or repeat (each row is scored by its own text); label rows with null
 ids or null labels are ignored, of several labels for an id the largest counts; without labels of
 both kinds each score is the share of label 1 (0 without labels); an empty table gives an empty
@@ -23,107 +27,209 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import text_of
+from quarry.llm.common import discard, materialize, text_of
 
-#: Bounds of what is fitted and sent to all tasks.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 5_000
+#: Bound of what is fitted and sent to all tasks: rows of the example bank.
+MAX_EXAMPLES = 3_000
 #: Lengths of the beginnings of words that are terms beside the words.
-PREFIXES = (4, 5, 6)
-BLOCK = 64
+PREFIXES = (4, 6)
+#: Examples in a block; a term in more than a part of FREQUENT of the bank has its maxima by block.
+BLOCK, FREQUENT = 64, 32
+#: Texts whose neighbours are looked for at once.
+TOGETHER = 64
+#: Words kept in a task's table, and code points of text that are counted together.
+MAX_TABLE, CHUNK = 200_000, 500_000
 _WORD = re.compile(r"[^\W\d_]+")
-_MAX_CACHE = 400_000
-
-
-def _terms(word: str) -> list[str]:
-    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
-
-
-class _Terms(dict):
-    """From a white-space delimited lower-case string to the numbers of its chosen terms."""
-
-    def __init__(self, chosen: dict[str, int]):
-        super().__init__()
-        self.chosen = chosen
-
-    def __missing__(self, string: str) -> tuple[int, ...]:
-        get = self.chosen.get
-        found = tuple(n for w in _WORD.findall(string) for t in _terms(w) if (n := get(t)) is not None)
-        if len(self) >= _MAX_CACHE:
-            self.clear()
-        self[string] = found
-        return found
-
-    def counts(self, text: str) -> dict[int, int]:
-        return Counter(n for found in map(self.__getitem__, text.lower().split()) if found for n in found)
+_SIGNIFICANT = 15.0  # G beyond chance, over many terms
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class TermCounts:
+    """Counts terms in texts. With `keys` (sorted hashes) terms are places in it and others don't count."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys = keys
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table: dict[str, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64 if self.keys is None else np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        from xxhash import xxh64_intdigest as digest
+
+        sizes = 1 + sum(np.fromiter((len(w) >= n for w in words), np.int64, len(words)) for n in PREFIXES)
+        named = chain.from_iterable((w, *(f"{w[:n]}^" for n in PREFIXES if len(w) >= n)) for w in words)
+        terms = np.fromiter(map(digest, named), np.uint64, int(sizes.sum()))
+        if self.keys is not None:
+            at = np.minimum(np.searchsorted(self.keys, terms), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == terms if len(self.keys) else np.zeros(len(terms), bool)
+            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+            terms = at[known]
+        self.table.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes, self.pool = np.append(self.sizes, sizes), np.append(self.pool, terms)
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its terms, in order, and how often each occurs."""
+        low = 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK):
+                size += len(texts[high])
+                high += 1
+            split = [_WORD.findall(t.lower()) for t in texts[low:high]]
+            used = set().union(*split)
+            new = used - self.table.keys()
+            if len(self.table) + len(new) > MAX_TABLE:
+                self._clear()
+                new = used
+            if new:
+                self._learn(list(new))
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            flat = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+            terms = self.pool[_ranges(self.starts[flat], self.sizes[flat])]
+            ends = np.append(0, np.cumsum(self.sizes[flat]))[np.append(0, np.cumsum(lengths))]
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield np.unique(terms[a:b], return_counts=True)
+            low = high
+
+
+def _arranged(dense: np.ndarray, ids: np.ndarray, steps: int = 5) -> np.ndarray:
+    """An order of the examples (columns) in which like ones share blocks, which keeps the bounds tight: spherical k-means."""
+    n = dense.shape[1]
+    group = np.zeros(n, np.int64)
+    if n > 4 * BLOCK and len(dense):
+        centres = dense[:, np.random.default_rng(3).permutation(n)[: n // (4 * BLOCK)]]
+        for _ in range(steps):
+            group = (dense.T @ centres).argmax(1)
+            sums = np.stack([dense[:, group == g].sum(1) for g in range(centres.shape[1])], 1)
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=0), 1e-12)
+    return np.lexsort((ids, group))
 
 
 class Bank:
-    """The examples' index and the calibration; small enough to send to every task."""
-
-    def __init__(self, chosen: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list[int], list[int]]], k: int):
-        self.chosen, self.idf, self.k = chosen, idf, k
-        vectors = [(i, y, *self.vector(dict(zip(t, n, strict=True)))) for i, y, t, n in examples]
-        # Examples whose heaviest terms agree share blocks, which keeps the bounds tight.
-        vectors = sorted((v for v in vectors if len(v[2])), key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.float64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        row = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
-        term = np.concatenate([v[2] for v in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([v[3] for v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, row // BLOCK, term))
-        self.row, self.weight = row[order], weight[order]
-        cell = term[order] * max(self.blocks, 1) + self.row // BLOCK
-        #: Postings of a term in a block: from start[cell] to start[cell + 1].
-        self.start = np.searchsorted(cell, np.arange(len(idf) * max(self.blocks, 1) + 1))
-        self.bound = np.zeros((len(idf), self.blocks), np.float32)
-        np.maximum.at(self.bound, (term, row // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        self.curve = np.array([0.0, 0.0, 0.0])
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length 1."""
-        terms = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[t] for t in terms.tolist()])) * self.idf[terms] if len(terms) else np.zeros(0)
-        return terms, weights / np.linalg.norm(weights) if len(terms) else weights
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, exactly; of equal ones the first."""
-        rows, sims = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.blocks:
-            return rows, sims
-        bounds = weights.astype(np.float32) @ self.bound[terms] * np.float32(1.00001)
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or (len(sims) == self.k and bounds[block] < sims[-1]):
-                break
-            got = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                low, high = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
-                if high > low:
-                    got[self.row[low:high] - block * BLOCK] += w * self.weight[low:high]
-            at = np.flatnonzero(got > 0) + block * BLOCK
-            if without is not None:
-                at = at[self.ids[at] != without]
-            rows, sims = np.concatenate([rows, at]), np.concatenate([sims, got[at - block * BLOCK]])
-            best = np.lexsort((rows, -sims))[: self.k]
-            rows, sims = rows[best], sims[best]
-        return rows, sims
-
-    def evidence(self, counts: dict[int, int], without: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the calibration sees (1, vote, amount), and the examples behind it with their cosines."""
-        rows, sims = self.nearest(*self.vector(counts), without)
-        near = sims / (1.05 - np.minimum(sims, 1))  # falls with distance
-        vote = float((near * self.labels[rows]).sum() / near.sum()) if len(rows) else 0.0
-        amount = math.log1p(sum(self.idf[t] * n for t, n in counts.items())) if counts else 0.0
-        return np.array([1.0, vote, amount * vote]), rows, sims
+    """The examples' index and the calibration; small enough to send to every task.
+
+    keys: hashes of its terms, sorted. weight: what a term weighs. Examples come as their ids, labels, numbers that equal
+    texts share, and vectors as (row, term, count) triples. Postings of rare terms are lists, those of frequent terms
+    are written out row by row, block by block."""
+
+    def __init__(self, keys: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, k: int):
+        self.keys, self.weight, self.k = keys, weight, k
+        n = len(ids)
+        self.blocks = -(-n // BLOCK)
+        value = (1 + np.log(count)) * weight[term]
+        norm = np.sqrt(np.bincount(row, value * value, minlength=n))
+        value = (value / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
+        df = np.bincount(term, minlength=len(keys))
+        #: The number of a frequent term; -1 for others.
+        self.frequent = np.full(len(keys), -1, np.int32)
+        often = np.flatnonzero(df > max(n // FREQUENT, BLOCK))
+        self.frequent[often] = np.arange(len(often))
+        dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        of_frequent = self.frequent[term] >= 0
+        dense[self.frequent[term[of_frequent]], row[of_frequent]] = value[of_frequent]
+        place = _arranged(dense[:, :n], ids)
+        self.ids, self.labels, self.twins = ids[place], labels[place].astype(np.float64), twins[place]
+        dense[:, :n] = dense[:, place]
+        self.dense = dense.reshape(len(often), self.blocks, BLOCK)
+        #: The largest weight of each frequent term in each block.
+        self.block_max = self.dense.max(2) if len(often) else np.zeros((0, self.blocks), np.float32)
+        back = np.empty(n, np.int64)
+        back[place] = np.arange(n)
+        row, term, value = back[row[~of_frequent]], term[~of_frequent], value[~of_frequent]
+        order = np.lexsort((row, term))
+        term, self.row, self.value = term[order], row[order].astype(np.int32), value[order]
+        self.start = np.searchsorted(term, np.arange(len(keys) + 1))
+        self.curve = np.zeros(4)
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of a text's terms, of length 1."""
+        value = (1 + np.log(counts)) * self.weight[terms]
+        length = math.sqrt(float(value @ value))
+        return value / length if length else value
+
+    def _home(self, terms: np.ndarray, weights: np.ndarray) -> int:
+        """The block in which a text's frequent terms weigh most."""
+        number = self.frequent[terms]
+        own = number >= 0
+        return int((weights[own].astype(np.float32) @ self.block_max[number[own]]).argmax()) if own.any() else -1
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (terms, weights) its k nearest examples with a cosine over 0, exactly; of equal ones the first.
+        without: for each the number of texts left out."""
+        n, m = len(self.ids), len(texts)
+        if not n or not m:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        text = np.repeat(np.arange(m), [len(t) for t, _ in texts])
+        terms, weights = (np.concatenate([x[i] for x in texts]) for i in (0, 1))
+        number = self.frequent[terms]
+        rare = number < 0
+        low = self.start[terms[rare]]
+        sizes = self.start[terms[rare] + 1] - low
+        at = _ranges(low, sizes)
+        width = self.blocks * BLOCK
+        total = np.bincount(self.row[at] + np.repeat(text[rare] * width, sizes), self.value[at] * np.repeat(weights[rare], sizes), minlength=m * width).astype(np.float64).reshape(m, width)
+        for i in range(m if without else 0):
+            total[i, :n][self.twins == without[i]] = -np.inf
+        total[:, n:] = -np.inf
+        own, column = np.unique(number[~rare], return_inverse=True)
+        if len(own):
+            frequent = np.zeros((m, len(own)), np.float32)
+            frequent[text[~rare], column] = weights[~rare]
+            bound = (frequent @ self.block_max[own]) * np.float32(1.0001)
+            best = total.reshape(m, self.blocks, BLOCK).max(2) + bound
+
+            def add(blocks: np.ndarray) -> None:
+                places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                total[:, places] += frequent @ self.dense[np.ix_(own, blocks)].reshape(len(own), -1)
+
+            # The most promising blocks first; then all others that can still hold one of the k nearest.
+            few = min(self.blocks, max(-(-2 * self.k // BLOCK), self.blocks // 16))
+            first = np.unique(np.argpartition(-best, few - 1, 1)[:, :few])
+            add(first)
+            reached = np.partition(total, width - self.k, 1)[:, width - self.k] if n > self.k else np.zeros(m)
+            rest = np.flatnonzero(((best >= np.maximum(reached, 0)[:, None]) & (bound > 0)).any(0))
+            rest = np.setdiff1d(rest, first, assume_unique=True)
+            if len(rest):
+                add(rest)
+        out = []
+        for own_total in total:
+            least = max(np.partition(own_total, width - self.k)[width - self.k] if n > self.k else 0.0, 0.0)
+            at = np.flatnonzero((own_total >= least) & (own_total > 0))  # with all rows that tie with the last
+            at = at[np.lexsort((at, -own_total[at]))][: self.k]
+            out.append((at, own_total[at]))
+        return out
+
+    def evidence(self, counted: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text what the calibration sees (1, vote, nearness, both), and the examples behind it with their cosines."""
+        vectors = [(t, self.vector(t, c)) for t, c in counted]
+        # Texts that are alike are looked up together, so they need the same blocks and terms.
+        order = np.argsort([self._home(t, w) for t, w in vectors], kind="stable")
+        out: list = [None] * len(vectors)
+        for start in range(0, len(order), TOGETHER):
+            part = order[start : start + TOGETHER].tolist()
+            for i, (rows, sims) in zip(part, self.nearest([vectors[i] for i in part], without and [without[i] for i in part]), strict=True):
+                near = sims / (1.05 - np.minimum(sims, 1))  # falls with distance
+                vote = float((near * self.labels[rows]).sum() / near.sum()) if len(rows) else 0.0
+                nearness = math.log(1e-3 + float(sims[:5].mean())) - math.log(1e-3) if len(rows) else 0.0
+                out[i] = np.array([1.0, vote, nearness, vote * nearness]), rows, sims
+        return out
 
     def score(self, seen: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.curve @ seen, -30, 30))))
@@ -141,99 +247,108 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _term_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each term, by label: counted per batch, before any shuffle."""
-    for batch in batches:
-        ones, zeros = Counter(), Counter()
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (ones if label else zeros).update({t for w in set(_WORD.findall(text.lower())) for t in _terms(w)})
-        terms = list(ones | zeros)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([ones[t] for t in terms], pa.int64()), pa.array([zeros[t] for t in terms], pa.int64())], names=["term", "ones", "zeros"]
-        )
-
-
-def _chosen_terms(bank: DataFrame, n_one: int, n_zero: int, max_terms: int) -> dict[str, int]:
-    """The terms that go with a label most strongly by the G-test."""
-    counts = bank.select("text", "label").mapInArrow(_term_labels, "term string, ones long, zeros long")
-    counts = counts.groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    total, cells = n_one + n_zero, []
-    for seen, size in (("ones", n_one), ("zeros", n_zero)):
-        with_term = F.col("ones") + F.col("zeros")
-        for observed, expected in ((F.col(seen), with_term * size / total), (size - F.col(seen), (total - with_term) * size / total)):
-            cells.append(F.when(observed > 0, observed * F.log(observed / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0))
-    g = 2 * sum(cells[1:], cells[0])
-    lift = F.abs(F.log((F.col("ones") + 0.5) / (n_one + 1.0)) - F.log((F.col("zeros") + 0.5) / (n_zero + 1.0)))
-    best = counts.where((F.col("ones") + F.col("zeros") >= 5) & (g >= 30) & (lift >= 1)).orderBy(g.desc(), "term").limit(max_terms)
-    return {row.term: i for i, row in enumerate(best.select("term").collect())}
-
-
-def _term_docs(chosen: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents with each chosen term in a task (and under -1 all its documents)."""
+def told(ones: np.ndarray, zeros: np.ndarray, n_one: int, n_zero: int) -> np.ndarray:
+    """How much more a term weighs that is in so many examples of each label: 1 where that may be chance."""
+    every, g = ones + zeros, np.zeros(len(ones))
+    for seen, size in ((ones, n_one), (zeros, n_zero)):
+        for observed, expected in ((seen, every * size / (n_one + n_zero)), (size - seen, (n_one + n_zero - every) * size / (n_one + n_zero))):
+            g += np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return 1 + np.sqrt(np.maximum(2 * g - _SIGNIFICANT, 0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, seen = _Terms(chosen), Counter()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                for text in batch.column(0)[low : low + 1024].to_pylist():
-                    seen.update(terms.counts(text).keys())
-                    seen[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
 
-    return run
+def bank_of(ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndarray, hashes: np.ndarray, count: np.ndarray, frequencies: Callable[[np.ndarray], tuple[int, np.ndarray]], k: int) -> Bank:
+    """A bank without calibration; frequencies: from the terms' hashes to the number of all documents and of those with each."""
+    keys, term = np.unique(hashes, return_inverse=True)
+    n, df = frequencies(keys)
+    ones = np.bincount(term, labels[row], minlength=len(keys))
+    zeros = np.bincount(term, minlength=len(keys)) - ones
+    idf = np.log((n + 1) / (np.minimum(df, n) + 0.5))
+    return Bank(keys, idf * told(ones, zeros, int(labels.sum()), int(len(labels) - labels.sum())), ids, labels, twins, row, term.astype(np.int64), count.astype(np.float64), k)
 
 
-def _vectors(chosen: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = _Terms(chosen)
-        for batch in batches:
-            counts = [terms.counts(t) for t in batch.column(2).to_pylist()]
-            kind = pa.list_(pa.int32())
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, label, hashes and counts of a text's terms, and a hash of the text."""
+    from xxhash import xxh64_intdigest as digest
+
+    counts = TermCounts()
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            texts = part.column(2).to_pylist()
+            found = list(counts(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], kind), pa.array([list(c.values()) for c in counts], kind)], names=["id", "label", "terms", "n"]
+                [part.column(0), part.column(1), pa.array([digest(t) >> 1 for t in texts], pa.int64()), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype(np.uint32).tobytes() for _, n in found], pa.binary())],
+                names=["id", "label", "twin", "hashes", "n"],
             )
 
-    return run
 
+def _document_frequencies(texts: DataFrame, keys: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of all documents, and of those with each term: one count per term and task is shuffled."""
+    shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen, rows = TermCounts(shared.value), np.zeros(len(shared.value), np.int64), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.column(0)[low : low + 512].to_pylist()
+                rows += len(part)
+                for terms, _ in counts(part):
+                    seen[terms] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], rows))], names=["term", "n"])
+
+    found = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n, df = found.column("term").to_numpy(), found.column("n").to_numpy(), np.zeros(len(keys), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
-def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, id_col: str = "doc_id", text_col: str = "text") -> Bank:
+
+def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Bank:
     """A bank from labels (columns doc_id, label) and the texts of `docs`.
 
     The bank and its calibration come from a bounded sample of labelled rows; the frequencies of
     terms come from all of `docs`."""
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
+    text = text_of(text_col)
     # The sample is bounded by max_examples rows of two numbers.
-    sample = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
-    sizes = dict(sample.groupBy((F.col("label") > 0).alias("one")).count().collect())
-    n_one, n_zero = sizes.get(True, 0), sizes.get(False, 0)
-    chosen = _chosen_terms(sample.select("text", (F.col("label") > 0).alias("label")), n_one, n_zero, max_terms) if n_one and n_zero else {}
-    if not chosen:
-        bank = Bank({}, np.zeros(0), [], k)
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(rows), "doc_id")
+    sample = sample.select(F.col("doc_id").alias("id"), (F.col("label") > 0).cast("int").alias("label"), "text").mapInArrow(_vectors, "id long, label int, twin long, hashes binary, n binary")
+    written = materialize(sample, "examples")
+    # An id may be on several rows; of these too no more than max_examples are taken.
+    found = written.orderBy(F.xxhash64("id"), "id", "twin").limit(max_examples).toArrow()
+    discard(written)
+    ids, y, twins = (found.column(c).to_numpy() for c in ("id", "label", "twin"))
+    n_one, n_zero = int(y.sum()), int(len(y) - y.sum())
+    if not n_one or not n_zero:
+        nothing = np.zeros(0, np.int64)
+        bank = Bank(np.zeros(0, np.uint64), np.zeros(0), nothing, nothing, nothing, nothing, nothing, np.zeros(0), k)
         share = n_one / (n_one + n_zero) if n_one else 0.0
         bank.curve[0] = max(-30.0, math.log(max(share, 1e-13) / max(1 - share, 1e-13)))
         return bank
-    df = dict(docs.select(text_of(text_col).alias("text")).mapInArrow(_term_docs(chosen), "term int, n long").groupBy("term").agg(F.sum("n")).collect())
-    idf = np.array([math.log((df.get(-1, 0) + 1) / (df.get(t, 0) + 1)) + 1 for t in range(len(chosen))])
-    vectors = sample.select(F.col("doc_id").cast("long").alias("id"), (F.col("label") > 0).cast("int").alias("label"), "text")
-    found = [(r.id, r.label, list(r.terms), list(r.n)) for r in vectors.mapInArrow(_vectors(chosen), "id long, label int, terms array<int>, n array<int>").collect()]
-    bank = Bank(chosen, idf, found, k)
-    bank.curve = _calibration(docs.sparkSession, bank, found)
+    hashes = np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h in found.column("hashes")])
+    counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in found.column("n")])
+    row = np.repeat(np.arange(len(ids)), [len(h.as_buffer()) // 8 for h in found.column("hashes")])
+    bank = bank_of(ids, y, twins, row, hashes, counts, lambda keys: _document_frequencies(docs.select(text.alias("text")), keys), k)
+    bank.curve = _calibration(docs.sparkSession, bank, found.select(["label", "twin", "hashes", "n"]))
     return bank
 
 
-def _calibration(spark: SparkSession, bank: Bank, found: list[tuple[int, int, list[int], list[int]]]) -> np.ndarray:
+def _calibration(spark, bank: Bank, found: pa.Table) -> np.ndarray:
     """The curve over each example's evidence from the others; bounded by max_examples rows."""
     shared = spark.sparkContext.broadcast(bank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            got = [shared.value.evidence(dict(zip(t, n, strict=True)), i)[0] for i, _, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([g.tolist() for g in got], pa.list_(pa.float64()))], names=["label", "seen"])
+            twins, hashes, n = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            counted = [(np.searchsorted(own.keys, np.frombuffer(h, np.uint64)), np.frombuffer(c, np.uint32)) for h, c in zip(hashes, n, strict=True)]
+            got = [seen.tolist() for seen, _, _ in own.evidence(counted, twins)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=["label", "seen"])
 
-    rows = spark.createDataFrame(found, "id long, label int, terms array<int>, n array<int>").repartition(spark.sparkContext.defaultParallelism)
-    seen = rows.mapInArrow(run, "label int, seen array<double>").collect()
-    return _logistic(np.array([r.seen for r in seen]), np.array([float(r.label) for r in seen]))
+    rows = spark.createDataFrame(found).repartition(spark.sparkContext.defaultParallelism)
+    seen = rows.mapInArrow(run, "label int, seen array<double>").toArrow()
+    return _logistic(np.array(seen.column("seen").to_pylist()), seen.column("label").to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
@@ -246,14 +361,13 @@ def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        terms = _Terms(own.chosen)
+        counts = TermCounts(own.keys)
         kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
                 scores, why = [], []
-                for text in part.column(where).to_pylist():
-                    seen, rows, sims = own.evidence(terms.counts(text or ""))
+                for seen, rows, sims in own.evidence(list(counts([t or "" for t in part.column(where).to_pylist()]))):
                     scores.append(own.score(seen))
                     why.append([{"id": i, "cosine": s} for i, s in zip(own.ids[rows[:5]].tolist(), sims[:5].tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(why, kind)], names=[*part.schema.names, "toxic_score", "nearest"])

@@ -237,19 +237,41 @@ def test_nearest_examples_are_exact_and_scores_separate(spark):
     held = [(got[i].toxic_score >= 0.7) == bool(y) for i, _, y in rows if i >= 200]
     assert sum(held) >= 0.95 * len(held)
     assert got[900].toxic_score == got[901].toxic_score < 0.5
-    # Blocks are only passed over where they can't matter.
-    terms, weights = bank.vector(toxicity._Terms(bank.chosen).counts(rows[0][1]))
-    near, sims = bank.nearest(terms, weights)
-    dense = np.zeros(len(bank.ids))
-    for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-        for b in range(bank.blocks):
-            low, high = bank.start[t * bank.blocks + b], bank.start[t * bank.blocks + b + 1]
-            dense[bank.row[low:high]] += w * bank.weight[low:high]
-    assert np.allclose(np.sort(dense)[::-1][: len(sims)][sims > 0], sims[sims > 0])
+    assert all(got[i].nearest for i, _, _ in rows) and not got[900].nearest
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0))).where("toxic_score > 0.001").count() == 0
     assert toxicity.score(empty(spark), toxicity.fit(empty(spark), labels)).collect() == []
 
 
+def test_neighbours_are_those_of_a_dense_product():
+    rng = random.Random(7)
+    languages = [["".join(rng.choice(s) for _ in range(rng.randint(2, 9))) for _ in range(3000)] for s in ("abcdefg", "hijklmn", "opqrsté")]
+    texts = [" ".join(rng.choice(words[: rng.choice((20, 300, 3000))]) for _ in range(rng.randint(1, 200))) for words in (languages[i % 3] for i in range(900))]
+    texts[5] = texts[8] = texts[11]
+    labels = np.array([i % 7 == 0 for i in range(900)], np.int64)
+    found = list(toxicity.TermCounts()(texts))
+    row, hashes, n = np.repeat(np.arange(900), [len(h) for h, _ in found]), np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+    twins = np.array([zlib.crc32(t.encode()) for t in texts])
+    documents = lambda keys: (5000, 1 + np.arange(len(keys)) % 700)
+    bank = toxicity.bank_of(np.arange(900), labels, twins, row, hashes, n, documents, 25)
+    assert len(bank.dense) and (bank.frequent < 0).any() and bank.blocks > 8
+    # Weights made again from the definition, over all terms.
+    keys, term = np.unique(hashes, return_inverse=True)
+    matrix = np.zeros((900, len(keys)))
+    matrix[row, term] = 1 + np.log(n)
+    ones, every = (matrix[labels == 1] > 0).sum(0), (matrix > 0).sum(0)
+    matrix *= np.log(5001 / (1 + np.arange(len(keys)) % 700 + 0.5)) * toxicity.told(ones, every - ones, int(labels.sum()), int((1 - labels).sum()))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    cosines = matrix @ matrix.T
+    vectors = [(t, bank.vector(t, c)) for t, c in toxicity.TermCounts(bank.keys)(texts)]
+    for twin in (False, True):
+        for low in range(0, 900, 50):
+            at = range(low, low + 50)
+            for i, (rows, sims) in zip(at, bank.nearest([vectors[i] for i in at], [int(twins[i]) for i in at] if twin else None), strict=True):
+                said = np.where(twins == twins[i], -1, cosines[i]) if twin else cosines[i]
+                assert np.allclose(np.sort(said)[::-1][: len(sims)], sims, atol=1e-6) and len(sims) == min(25, (said > 1e-9).sum())
+                assert np.allclose(said[bank.ids[rows]], sims, atol=1e-6)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the shared tables")
 def test_scores_hold_on_labels_held_out(spark):
     d = "/root/testdata/sf0.01"
