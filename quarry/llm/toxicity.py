@@ -32,7 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,33 +130,55 @@ class Bank:
     are written out row by row, block by block."""
 
     def __init__(self, keys: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, k: int):
-        self.keys, self.weight, self.k = keys, weight, k
-        n = len(ids)
+        self.keys, self.weight, self.k, self.curve, self.sent = keys, weight, k, np.zeros(4), None
+        self.ids, self.labels, self.twins = ids, labels.astype(np.float64), twins
+        self._hold(row, term, count)
+        self._build()
+        place = _arranged(self.dense.reshape(len(self.dense), self.blocks * BLOCK)[:, : len(ids)], ids)
+        back = np.empty(len(ids), np.int64)
+        back[place] = np.arange(len(ids))
+        self.ids, self.labels, self.twins = self.ids[place], self.labels[place], self.twins[place]
+        self._hold(back[row], term, count)
+        self._build()
+
+    def _hold(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        """Postings by term, then row, in few bytes: this is what is sent."""
+        order = np.lexsort((row, term))
+        least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        self.postings = least(np.bincount(term, minlength=len(self.keys))), least(row[order]), least(count[order])
+
+    def __getstate__(self) -> tuple:
+        return self.keys, self.weight, self.k, self.curve, self.ids, self.labels, self.twins, self.postings
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.weight, self.k, self.curve, self.ids, self.labels, self.twins, self.postings = state
+        self._build()
+
+    def _build(self) -> None:
+        n, (df, row, count) = len(self.ids), self.postings
+        df, row = df.astype(np.int64), row.astype(np.int64)
+        term = np.repeat(np.arange(len(self.keys)), df)
         self.blocks = -(-n // BLOCK)
-        value = (1 + np.log(count)) * weight[term]
+        value = (1 + np.log(count)) * self.weight[term]
         norm = np.sqrt(np.bincount(row, value * value, minlength=n))
         value = (value / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
-        df = np.bincount(term, minlength=len(keys))
         #: The number of a frequent term; -1 for others.
-        self.frequent = np.full(len(keys), -1, np.int32)
+        self.frequent = np.full(len(self.keys), -1, np.int32)
         often = np.flatnonzero(df > max(n // FREQUENT, BLOCK))
         self.frequent[often] = np.arange(len(often))
-        dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        self.dense = np.zeros((len(often), self.blocks, BLOCK), np.float32)
         of_frequent = self.frequent[term] >= 0
-        dense[self.frequent[term[of_frequent]], row[of_frequent]] = value[of_frequent]
-        place = _arranged(dense[:, :n], ids)
-        self.ids, self.labels, self.twins = ids[place], labels[place].astype(np.float64), twins[place]
-        dense[:, :n] = dense[:, place]
-        self.dense = dense.reshape(len(often), self.blocks, BLOCK)
+        self.dense.reshape(len(often), self.blocks * BLOCK)[self.frequent[term[of_frequent]], row[of_frequent]] = value[of_frequent]
         #: The largest weight of each frequent term in each block.
         self.block_max = self.dense.max(2) if len(often) else np.zeros((0, self.blocks), np.float32)
-        back = np.empty(n, np.int64)
-        back[place] = np.arange(n)
-        row, term, value = back[row[~of_frequent]], term[~of_frequent], value[~of_frequent]
-        order = np.lexsort((row, term))
-        term, self.row, self.value = term[order], row[order].astype(np.int32), value[order]
-        self.start = np.searchsorted(term, np.arange(len(keys) + 1))
-        self.curve = np.zeros(4)
+        self.row, self.value = row[~of_frequent].astype(np.int32), value[~of_frequent]
+        self.start = np.append(0, np.cumsum(np.where(self.frequent < 0, df, 0)))
+
+    def shared(self, spark: SparkSession):
+        """This bank as all tasks have it; sent once."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Weights of a text's terms, of length 1."""
@@ -231,8 +253,9 @@ class Bank:
                 out[i] = np.array([1.0, vote, nearness, vote * nearness]), rows, sims
         return out
 
-    def score(self, seen: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve @ seen, -30, 30))))
+
+def _probability(curve: np.ndarray, seen: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(curve @ seen, -30, 30))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -263,7 +286,7 @@ def bank_of(ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndar
     ones = np.bincount(term, labels[row], minlength=len(keys))
     zeros = np.bincount(term, minlength=len(keys)) - ones
     idf = np.log((n + 1) / (np.minimum(df, n) + 0.5))
-    return Bank(keys, idf * told(ones, zeros, int(labels.sum()), int(len(labels) - labels.sum())), ids, labels, twins, row, term.astype(np.int64), count.astype(np.float64), k)
+    return Bank(keys, idf * told(ones, zeros, int(labels.sum()), int(len(labels) - labels.sum())), ids, labels, twins, row, term.astype(np.int64), count, k)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,9 +357,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX
     return bank
 
 
-def _calibration(spark, bank: Bank, found: pa.Table) -> np.ndarray:
+def _calibration(spark: SparkSession, bank: Bank, found: pa.Table) -> np.ndarray:
     """The curve over each example's evidence from the others; bounded by max_examples rows."""
-    shared = spark.sparkContext.broadcast(bank)
+    shared = bank.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -354,7 +377,7 @@ def _calibration(spark, bank: Bank, found: pa.Table) -> np.ndarray:
 def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with toxic_score and nearest (ids and cosines of up to five examples)."""
     docs = docs.drop("toxic_score", "nearest")
-    shared = docs.sparkSession.sparkContext.broadcast(bank)
+    shared, curve = bank.shared(docs.sparkSession), bank.curve
     nearest = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()), T.StructField("nearest", nearest)])
     where = docs.columns.index(text_col)
@@ -368,7 +391,7 @@ def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
                 part = batch.slice(low, 512)
                 scores, why = [], []
                 for seen, rows, sims in own.evidence(list(counts([t or "" for t in part.column(where).to_pylist()]))):
-                    scores.append(own.score(seen))
+                    scores.append(_probability(curve, seen))
                     why.append([{"id": i, "cosine": s} for i, s in zip(own.ids[rows[:5]].tolist(), sims[:5].tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64()), pa.array(why, kind)], names=[*part.schema.names, "toxic_score", "nearest"])
 
