@@ -64,7 +64,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact_dedup.DigestIndex(spark).add(table(spark, sf_dir, "documents"))
+    rows = exact_dedup.in_batches(table(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

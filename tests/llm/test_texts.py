@@ -64,6 +64,28 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(empty(spark), path).collect() == []
 
 
+def test_very_long_white_space_is_packed():
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    encode, tokenizer = packing.byte_bpe(path), Tokenizer.from_file(path)
+    for text in ("a " + " " * 120_000 + "b<|endoftext|> c", "\n" * 150_000, "x" + " " * 5_000_000, " " * 99_999 + "y"):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_words_are_proposed_and_only_failing_ones_merged(monkeypatch):
+    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    tokenizer, own, merged = Tokenizer.from_file(path), bpe.WordBpe(path), []
+    tokenizer.no_truncation()
+    merge = own._merge
+    monkeypatch.setattr(own, "_merge", lambda ids: merged.append(len(ids)) or merge(ids))
+    rng = random.Random(12)
+    common = ["the", "ing", "tion", "inter", "nation", "al", "lower", "case", "é", "ß", "qz", "xx"]
+    words = ["".join(rng.choice(common) for _ in range(rng.randint(20, 120))) for _ in range(400)] + ["x" * 200_000, "!?" * 5000, "ab" * 300]
+    for text, (ids, decoded) in zip(words, own.encode(words), strict=True):
+        said = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == said and decoded == tokenizer.decode(said, skip_special_tokens=False)
+    assert 0 < len(merged) < len(words)  # some proposals pass, some fail
+
+
 def test_bpe_is_that_of_the_library(spark):
     path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
     tokenizer = Tokenizer.from_file(path)
@@ -112,31 +134,72 @@ def test_repeated_lines_go_everywhere(spark):
     assert line_dedup.drop_repeated_lines(empty(spark)).collect() == []
 
 
-def test_line_runs_compact_and_still_count(spark):
+def test_line_runs_compact_and_carry_no_hot_line_again(spark):
     runs = line_dedup.LineRuns(spark, min_docs=3, fanout=2)
+    batch = spark.createDataFrame([("a\nb",), ("c",)], "text string")
+    sizes = []
     for _ in range(5):
-        runs.add(spark.createDataFrame([("a\nb",), ("c",)], "text string"))
-    assert len(runs.levels) > 1 and all(len(level) < 2 for level in runs.levels)
-    assert runs.at_limit().count() == 3
+        runs.add(batch)
+        sizes.append([(n, table and table.rows().agg(F.sum("n_docs")).first()[0]) for table, n in runs.levels])
+    # Two runs make one of the next level; each line comes to the limit with the third batch, later batches bring nothing.
+    assert sizes == [[(1, 3)], [(0, None), (1, 6)], [(1, 3), (1, 6)], [(0, None), (0, None), (1, 9)], [(1, None), (0, None), (1, 9)]]
+    plan = runs.fresh(runs.counts(batch))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") == 2
+    assert plan.count("Exchange") == 2  # both of the batch itself
+    assert runs.at_limit().count() == 3 and [n for _, n in runs.levels] == [0, 0, 0, 1]
+    plan = runs.at_limit()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    runs.drop()
+
+
+def test_query_batches_are_compacted_and_joined(spark):
+    levels = []
+
+    class Seen(line_dedup.LineRuns):
+        def _put(self, level, rows):
+            levels.append((level, rows._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")))
+            super()._put(level, rows)
+
+    df = frame(spark, TEXTS + [f"own {i}\nmenu" for i in range(30)])
+    runs = Seen(spark, fanout=4)
+    line_dedup.count_in_batches(df, runs, 6)
+    assert levels == [(0, 0), (0, 1), (0, 1), (0, 1), (1, 0), (0, 1), (0, 2)]
+    runs.drop()
+
+
+def test_lines_at_the_limit_beyond_what_may_be_sent(spark):
+    df = frame(spark, [*TEXTS, *(f"own {i}\n\tMenu \n{'menu' if i % 2 else 'x'}\nRare" for i in range(12)), "Rare\nmenu\nmenu"])
+    small, large = (sorted(map(tuple, line_dedup.drop_repeated_lines(df, max_sent=n).collect()), key=str) for n in (0, 1000))
+    assert small == large and any(r[6] for r in small)
 
 
 def test_exact_copies_and_later_batches(spark):
     texts = [*TEXTS, "a b", "ab", "a  b", "A b", " a\nb "]
     df = frame(spark, texts, "digest string, keep_id int, kept string")
     bare = lambda t: re.sub("[\x20\x09-\x0d]", "", t or "")
-    groups = defaultdict(list)
     rows = df.collect()
-    for r in rows:
-        groups[bare(r.text)].append(r)
-    best = {k: min(g, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)).doc_id for k, g in groups.items()}
-    said = sorted(((r.doc_id, best[bare(r.text)], len(groups[bare(r.text)]), r.doc_id == best[bare(r.text)], hashlib.sha256(bare(r.text).encode()).hexdigest()) for r in rows), key=str)
+
+    def said(of, among):
+        groups = defaultdict(list)
+        for r in among:
+            groups[bare(r.text)].append(r)
+        best = {k: min(g, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0)).doc_id for k, g in groups.items()}
+        return sorted(((r.doc_id, best[bare(r.text)], len(groups[bare(r.text)]), r.doc_id == best[bare(r.text)], hashlib.sha256(bare(r.text).encode()).hexdigest()) for r in of), key=str)
+
+    got = lambda frame: sorted(((r.id, r.keep_id, r.group_size, r.kept, r.digest.hex()) for r in frame.collect()), key=str)
+    assert got(exact_dedup.in_batches(df)) == said(rows, rows)
     index = exact_dedup.DigestIndex(spark)
-    got = sorted(((r.id, r.keep_id, r.group_size, r.kept, r.digest.hex()) for r in index.add(df).collect()), key=str)
-    assert got == said
-    later = {r.id: r for r in index.add(spark.createDataFrame([(900, "a b"), (901, "quite new")], "doc_id long, text string")).collect()}
-    assert not later[900].kept and later[900].keep_id == best["ab"] and later[901].kept
-    assert index.rows().count() == len(groups) + 1
-    assert exact_dedup.DigestIndex(spark).add(empty(spark)).collect() == []
+    assert got(index.add(df)) == said(rows, rows)
+    # Longer, as long with a smaller id, shorter, null id; and a text that is new.
+    more = spark.createDataFrame([(900, " a   b "), (-5, "HELLO  world"), (-6, "Hello world"), (901, "Helloworld"), (None, "x" * 3000), (902, "quite new")], "doc_id long, text string")
+    new = more.collect()
+    assert got(index.add(more)) == said(new, rows + new)
+    assert got(index.resolve(exact_dedup.digests(df))) == said(rows, rows + new)
+    n = len({bare(r.text) for r in rows + new})
+    assert index.rows().count() == index.rows().select("digest").distinct().count() == n  # appended once each
+    assert index.changes.rows().count() == 3
+    index.drop()
+    assert exact_dedup.in_batches(empty(spark)).collect() == []
 
 
 def base_spans(t):
