@@ -11,8 +11,11 @@ of white-space delimited strings and only encodes what the table lacks.
 
 Scale: no shuffle; a task works in chunks of a few MB of text, whole texts at a time.
 
-Defined results: null text is empty and has no ids; ids of rows may be null or repeat; words of over
-64 bytes are merged with a heap in n log n; an empty table gives an empty result.
+Words of any length are proposed and tested that way; of those that fail, the long ones are merged with a heap in
+n log n. Where this machine's Unicode tables are newer than those of the tokenizers library, a task asks the library once
+which of their letters and numbers it doesn't know.
+
+Defined results: null text is empty and has no ids; ids of rows may be null or repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from quarry.llm.common import text_of
 
 #: Strings kept in a task's table, and code points of text in a chunk.
 MAX_TABLE, CHUNK = 400_000, 2_000_000
-#: Bytes of the words that are encoded together with others.
+#: Bytes of the words that are proposed and merged many at once; longer ones are walked through and merged alone.
 SHORT = 64
 _OUT = "id long, n_tokens long, ids binary, decoded string"
 #: White space to str.split() but not to the pattern.
@@ -132,6 +135,7 @@ class WordBpe:
         self.trie_keys = np.append(keys[order], _NONE)
         self.trie_next = np.append(np.array(list(ends.values()), np.int64)[order], 0)
         self.trie_token = np.array(token_at, np.int64)
+        self.trie, self.trie_list = ends, token_at
 
     def _merge(self, ids: list[int]) -> list[int]:
         """BPE with a heap: the lowest rank first, leftmost first."""
@@ -185,6 +189,19 @@ class WordBpe:
             begin, end, at, node, best, best_end = (x[go] for x in (begin, end, at, node, best, best_end))
         return made
 
+    def _greedy_alone(self, units: np.ndarray, made: np.ndarray, begin: int, end: int) -> None:
+        """The same for one long word."""
+        step, token_at, own = self.trie.get, self.trie_list, units[begin:end].tolist()
+        i, n = 0, len(own)
+        while i < n:
+            node, j, best, best_end = 0, i, -1, i
+            while j < n and (node := step((node, own[j]))) is not None:
+                j += 1
+                if token_at[node] >= 0:
+                    best, best_end = token_at[node], j
+            made[begin + i] = best
+            i = best_end
+
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: does BPE of their joined text give this pair (or did it, up to `limit`)?
 
@@ -251,6 +268,8 @@ class WordBpe:
         units[ends - 1] = self.final[raw[ends - 1]]
         short = counts <= SHORT
         made = self._greedy(units, starts[short], ends[short])
+        for w in np.flatnonzero(~short).tolist():
+            self._greedy_alone(units, made, int(starts[w]), int(ends[w]))
         at = np.flatnonzero(made >= 0)
         word = np.repeat(np.arange(len(words)), counts)[at]
         same = word[1:] == word[:-1]
@@ -258,12 +277,14 @@ class WordBpe:
         ok = self.compatible(keys // self.radix, keys % self.radix)[inverse]
         failed = np.zeros(len(words), bool)
         failed[word[1:][same][~ok]] = True
+        for w in np.flatnonzero(failed & ~short).tolist():
+            ids = self._merge(units[starts[w] : ends[w]].tolist())
+            made[starts[w] : ends[w]] = -1
+            made[starts[w] : starts[w] + len(ids)] = ids
+        failed &= short
         if failed.any():
             of_failed = np.repeat(failed, counts)
             made[of_failed] = self._exact(units[of_failed], counts[failed])
-        for w in np.flatnonzero(~short):
-            ids = self._merge(units[starts[w] : ends[w]].tolist())
-            made[starts[w] : starts[w] + len(ids)] = ids
         return made[made >= 0], np.add.reduceat(made >= 0, starts, dtype=np.int64)
 
     def _learn(self, strings: list[str]) -> None:

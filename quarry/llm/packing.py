@@ -15,6 +15,7 @@ repeat, each row is a document; an empty table gives no pieces; other columns ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import materialize, text_of
 
+#: White space that the pattern of byte_bpe may not be able to go back over (it can over 400,000 code points).
+_LONG_WHITE = re.compile(r"(?<!\s)\s{100000}")
 _TOKENS = "part int, doc_id long, at long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, boundary boolean, ids binary"
 
@@ -34,11 +37,13 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lo
 def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     """An encoder with the ids of the byte-level BPE in a tokenizers file, special strings included.
 
-    Merges of such a file are in the order of their ids, which are then ranks.
+    Merges of such a file are in the order of their ids, which are then ranks. The pattern's backtracking is bounded, so
+    texts with a very long run of white space go to the tokenizers library, which gives the same ids in more time.
     """
     import json
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -51,10 +56,19 @@ def byte_bpe(path: str) -> Callable[[str], np.ndarray]:
     ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    if not special:
-        return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
     allowed = set(special)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+    whole = []
+
+    def encode(text: str) -> np.ndarray:
+        if _LONG_WHITE.search(text) is None:
+            return encoding.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+            whole[0].no_truncation()
+            whole[0].no_padding()
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def _tokenised(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
