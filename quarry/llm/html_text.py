@@ -10,7 +10,10 @@ content. The region that is returned is the element that holds the content: the
 or main element with most of it, else the innermost element with nearly all of it; in the
 latter case only the blocks from the first to the last content line count, with headings before.
 
-Scale: one page at a time inside map tasks; no shuffle.
+Broken markup: what isn't of the head ends it; an element that isn't seen (noscript, button, svg ...) and has no end tag
+hides nothing; comments, scripts and styles without an end reach to the end of the page, as in browsers.
+
+Scale: one page at a time inside map tasks; no shuffle. Time is linear in a page, whatever is in it.
 
 Defined results: null html is empty and gives an empty text; ids may be null or repeat; character
 references are decoded; runs of white space in a block become one space and blocks are joined by
@@ -38,7 +41,8 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video button select datalist textarea".split())
+UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video button select datalist textarea".split())
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 OTHER = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MARKS = frozenset(
@@ -64,31 +68,43 @@ class _Block:
 
 
 class _Page(HTMLParser):
-    """Blocks of a page and the tree of elements they stand in."""
+    """Blocks of a page and the tree of elements they stand in. Each event takes constant time, but for the elements it ends."""
 
     def __init__(self, forms: bool):
         super().__init__(convert_charrefs=True)
         self.forms = forms  # forms are left out
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, box
-        self.counts: dict[str, int] = {}
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, box, number of the unseen element it is or -1
+        self.places: dict[str, list[int]] = {}  # where in `open` each tag stands
+        self.block_places: list[int] = []
         self.parents, self.kinds, self.marked = [-1], [""], [False]  # boxes: block elements that hold others
         self.blocks: list[_Block] = []
         self.left_out = 0
+        self.unseen: list[int] = []  # open unseen elements
+        self.ended: list[bool] = []  # for each unseen element, whether it was ended by its own tag
+        self.around: list[int] = []  # for each, the unseen element around it or -1
+        self.within: list[tuple[int, int]] = []  # blocks in unseen elements, and the innermost of these
         self.pieces: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
+    def _last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _within_article(self) -> bool:
+        return bool(self.places.get("article") or self.places.get("main"))
+
     def _is_other(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in UNSEEN or (tag in OTHER and (tag != "form" or self.forms)):
+        if tag in OTHER and (tag != "form" or self.forms):
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
             return True
-        if (attrs.get("role") or "").strip().lower() in ROLES and (self.forms or attrs["role"] != "form"):
+        role = (attrs.get("role") or "").strip().lower()
+        if role in ROLES and (self.forms or role != "form"):
             return True
-        return tag == "header" and not (self.counts.get("article") or self.counts.get("main"))
+        return tag == "header" and not self._within_article()
 
     def _is_marked(self, tag: str, attrs: dict[str, str | None]) -> bool:
         """Whether a class or id calls the element something else."""
-        within = self.counts.get("article") or self.counts.get("main")
+        within = self._within_article()
         if tag not in BLOCK or tag in HEADING or (tag == "p" and within):
             return False
         marks = {w.lower() for name in ("class", "id") for w in _WORD.findall(attrs.get(name) or "")} & MARKS
@@ -104,31 +120,38 @@ class _Page(HTMLParser):
         text = " ".join("".join(self.pieces).split())
         if text:
             box = self.open[-1][2] if self.open else 0
-            self.blocks.append(_Block(text, self.tags, min(self.linked, len(text)), box, bool(self.open) and any(t in HEADING for t, _, _ in self.open[-3:])))
+            if self.unseen:
+                self.within.append((len(self.blocks), self.unseen[-1]))
+            self.blocks.append(_Block(text, self.tags, min(self.linked, len(text)), box, any(x[0] in HEADING for x in self.open[-3:])))
         self.pieces, self.tags, self.linked = [], 0, 0
 
-    def _close(self, at: int) -> None:
-        if any(t in BLOCK for t, _, _ in self.open[at:]):
+    def _close(self, at: int, own: bool = False) -> None:
+        """End the elements from `at` on; own: the first of them by its own end tag."""
+        if (self.block_places and self.block_places[-1] >= at) or (self.unseen and self.open[at][3] >= 0):
             self._flush()
         while len(self.open) > at:
-            tag, other, _ = self.open.pop()
-            self.counts[tag] -= 1
+            tag, other, _, number = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.block_places.pop()
             self.left_out -= other
             self.in_link -= tag == "a"
+            if number >= 0:
+                self.unseen.pop()
+                self.ended[number] = own and len(self.open) == at
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in IN_HEAD and self.places.get("head"):
+            self._close(self._last("head"), own=True)  # what isn't of the head ends it
         if tag in BLOCK:
             self._flush()
-            if self.counts.get("p"):  # a block ends an open paragraph
-                self._close(max(i for i, x in enumerate(self.open) if x[0] == "p"))
+            if self.places.get("p"):  # a block ends an open paragraph
+                self._close(self._last("p"))
         if ended := ENDS.get(tag):
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in ended:
-                    self._close(i)
-                    break
-                if self.open[i][0] in _CONTAINERS:
-                    break
+            at = self._last(*ended)
+            if at > self._last(*_CONTAINERS):
+                self._close(at)
         if tag in VOID:
             if tag == "br":
                 self.pieces.append(" ")
@@ -143,36 +166,57 @@ class _Page(HTMLParser):
             self.kinds.append("main" if is_main else tag)
             self.marked.append(marked)
             box = len(self.parents) - 1
-        self.open.append((tag, other, box))
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+        number = -1
+        if tag in UNSEEN:
+            if tag not in BLOCK:
+                self._flush()
+            number = len(self.ended)
+            self.ended.append(False)
+            self.around.append(self.unseen[-1] if self.unseen else -1)
+            self.unseen.append(number)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.block_places.append(len(self.open))
+        self.open.append((tag, other, box, number))
         self.left_out += other
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
+        if tag in ("svg", "math"):  # but for these
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
             self.pieces.append(" ")
-        if not self.counts.get(tag):
+        at = self._last(tag)
+        if at < 0:
             if tag in BLOCK:
                 self._flush()
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close(i)
-                return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:  # an inline end tag doesn't end blocks
-                return
+        elif tag in BLOCK or tag in UNSEEN or not self.block_places or at > self.block_places[-1]:  # an inline end tag doesn't end blocks
+            self._close(at, own=True)
 
     def handle_data(self, data: str) -> None:
         if self.left_out:
             return
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._close(len(self.open) - 1, own=True)
         self.pieces.append(data)
         if self.in_link:
             self.linked += len(data)
 
+    def finish(self) -> None:
+        """Blocks in unseen elements go, unless the element's end tag is missing: then it ended nobody knows where."""
+        self._flush()
+        if self.open:
+            self._close(0)
+        hidden: list[bool] = []
+        for ended, around in zip(self.ended, self.around, strict=True):
+            hidden.append(ended or (around >= 0 and hidden[around]))
+        gone = {i for i, number in self.within if hidden[number]}
+        self.blocks = [b for i, b in enumerate(self.blocks) if i not in gone]
+
 
 def _smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     reach = int(3 * sigma)
@@ -189,10 +233,10 @@ def _weights(page: _Page) -> np.ndarray:
     for box in range(len(dense) - 1, 0, -1):  # a box comes after those around it
         dense[page.parents[box]] += dense[box]
     mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and not page.marked[i] and dense[i] >= 0.3 * dense[0] and dense[i]]
-    around = set()
+    around: set[int] = set()
     for i in mains:
         up = page.parents[i]
-        while up >= 0:
+        while up >= 0 and up not in around:
             around.add(up)
             up = page.parents[up]
     weights = np.ones(len(dense))
@@ -218,12 +262,15 @@ def _region(page: _Page) -> list[_Block]:
         held[page.parents[box]] += held[box]
     mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and held[i] >= 0.3 * held[0] and held[i]]
     best = -1
+    in_best = np.zeros(len(held), bool)  # boxes inside the best so far, up to the one looked at
+    looked = -1
     for i in mains:
-        inside, up = False, page.parents[i]
-        while up >= 0:
-            inside, up = inside or up == best, page.parents[up]
-        if best < 0 or held[i] > held[best] or (inside and held[i] >= 0.5 * held[best]):
+        for box in range(looked + 1, i + 1) if best >= 0 else ():
+            in_best[box] = in_best[page.parents[box]] or page.parents[box] == best
+        looked = i
+        if best < 0 or held[i] > held[best] or (in_best[i] and held[i] >= 0.5 * held[best]):
             best = i
+            in_best[:] = False
     if best < 0:
         best = max((i for i in range(len(held)) if held[i] >= 0.7 * held[0]))  # the innermost: boxes with so much lie in each other
     inside = [False] * len(held)
@@ -240,16 +287,37 @@ def _region(page: _Page) -> list[_Block]:
     return [blocks[i] for i in chosen if content[i] or weights[i] == 1]
 
 
+_OPENS = re.compile(r"<!--|<(script|style)(?=[\s/>])", re.I)
+_ENDS_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in ("script", "style")}
+_TAG = re.compile(r"<[A-Za-z/!?]")
+
+
+def _tidy(html: str) -> str:
+    """The page without comments, scripts and styles, and without a tag that never ends: what the parser would look for an
+    end of again and again. Marked sections become comments, as HTML has it."""
+    out, at = [], 0
+    while got := _OPENS.search(html, at):
+        out.append(html[at : got.start()])
+        if name := got[1]:
+            end = _ENDS_OF[name.lower()].search(html, got.end())
+            at = end.end() if end else len(html)
+        elif html.startswith((">", "->"), got.end()):  # an empty comment
+            at = html.index(">", got.end()) + 1
+        else:
+            end = html.find("-->", got.end())
+            at = end + 3 if end >= 0 else len(html)
+    out.append(html[at:])
+    html = "".join(out).replace("<![", "<! [")
+    last = html.rfind(">") + 1
+    unended = _TAG.search(html, last)
+    return html[: unended.start()] if unended else html
+
+
 def _blocks(html: str, forms: bool) -> _Page:
     page = _Page(forms)
-    try:
-        page.feed(html)
-        page.close()
-    except AssertionError:  # a marked section that the parser doesn't know
-        page = _Page(forms)
-        page.feed(html.replace("<![", "<! ["))
-        page.close()
-    page._flush()
+    page.feed(html)
+    page.close()
+    page.finish()
     return page
 
 
@@ -257,16 +325,19 @@ def _dense(page: _Page) -> int:
     return sum(len(b.text) - b.linked for b in page.blocks)
 
 
-def _in_marked(page: _Page, box: int) -> bool:
-    while box >= 0 and not page.marked[box]:
-        box = page.parents[box]
-    return box >= 0
+def _all_marked(page: _Page) -> bool:
+    """Whether all blocks stand in marked elements."""
+    marked = list(page.marked)
+    for box in range(1, len(marked)):
+        marked[box] = marked[box] or marked[page.parents[box]]
+    return all(marked[b.box] for b in page.blocks)
 
 
 def main_text(html: str) -> str:
     """The main text of a page."""
+    html = _tidy(html)
     page = _blocks(html, True)
-    if "<form" in html.lower() and all(_in_marked(page, b.box) for b in page.blocks):
+    if "<form" in html.lower() and _all_marked(page):
         whole = _blocks(html, False)  # some sites wrap the whole page in a form
         if _dense(whole) > 2 * _dense(page):
             page = whole

@@ -1,9 +1,11 @@
 """The text operators against plain Python over awkward rows."""
 
 import hashlib
+import html
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -278,6 +280,50 @@ def test_names_alone_do_not_remove_text(html, said):
     assert html_text.main_text(html.format(_FIRST, _SECOND)) == said.format(_FIRST, _SECOND)
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><meta name=x><body><nav><a href=x>Home</a></nav><article><p>{0}</p><p>{1}</p></article></body></html>",
+        "<head><title>T</title><p>{0}</p><p>{1}</p>",
+        "<body><div class='layout has-sidebar'><article><p>{0}</p><p>{1}</p></article></div></body>",
+        "<body><div id='page-with-menu'><p>{0}</p><p>{1}</p></div></body>",
+        "<body><div class='legal-article'><p>{0}</p><p>{1}</p></div></body>",
+        "<body><div class='search-content'><p>{0}</p><p>{1}</p></div></body>",
+        "<body><noscript><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body><noscript><p>Switch it on</p></noscript><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body><button>Menu<article><p>{0}</p><p>{1}</p></article></body>".replace("Menu", ""),
+        "<body><svg><path d='x'><article><p>{0}</p><p>{1}</p></article></body>",
+        "<body><svg/><article><p>{0}</p><p>{1}</p><!-- a note without end </article></body>",
+        "<body><article><p>{0}</p><script>if (a < b) document.write('<p>no</p>')</script><p>{1}</p></article><script>x = '<article>'",
+    ],
+)
+def test_broken_markup(html):
+    assert html_text.main_text(html.format(_FIRST, _SECOND)) == f"{_FIRST}\n{_SECOND}"
+
+
+@pytest.mark.parametrize("junk", ["<a ", "<!--", "<![CDATA[", "</", "<div>x", "<main>x", "<noscript>x", "<li></li>", "<p>", "<option>", "&lt", "<a x='", "<form><div class=ad>x"])
+def test_time_is_linear_in_junk(junk):
+    def took(n):
+        began = time.process_time()
+        html_text.main_text("<b><div>" + "<a>" * (n // 100) + junk * (n // len(junk)) + "</b>" * (n // 100))
+        return time.process_time() - began
+
+    assert took(400_000) < 12 * took(100_000) + 0.5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the shared tables")
+def test_words_are_those_of_the_article_elements(spark):
+    kept = wrong = missed = 0
+    for row in queries.op2_html_text(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = row.html[row.html.index("<article") : row.html.rindex("</article>")]
+        inner = re.sub(r"(?s)<!--.*?-->|<(script|style|aside|form|nav|footer)\b.*?</\1>", " ", inner)
+        said, got = (Counter(t.split()) for t in (html.unescape(re.sub("<[^>]*>", " ", inner)), row.text))
+        kept += sum((said & got).values())
+        wrong += sum((got - said).values())
+        missed += sum((said - got).values())
+    assert kept > 1000 and kept / (kept + wrong) > 0.99 and kept / (kept + missed) > 0.99
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a</p>", "y"), (1, "u", None, "x")], "page_id long, url string, html string, text string")
     assert sorted(((r.id, r.url, r.text) for r in html_text.extract(df).collect()), key=str) == sorted([(1, "u", ""), (1, "u", ""), (None, None, "a")], key=str)
