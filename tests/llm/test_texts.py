@@ -240,6 +240,54 @@ def test_telling_terms_are_generalised(spark):
     assert got[8].clean_text == "Zorblax alone" and all(not got[100 + i].spans for i in range(60))
 
 
+def telling(rows, reach=50, disclosure=0.9, contexts=3):
+    """doc_id -> terms to generalise, counted by hand."""
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    term = re.compile(r"\0[^ ]*|[^\W_](?:[^\W_]|-(?=[^\W_]))*")
+    words = {t: term.findall(pattern.sub(lambda m: f" \0{m[0]} ", t or "").lower()) for t in {t for _, t in rows}}
+    plain = {t: set(re.findall(r"[^\W_](?:[^\W_]|-(?=[^\W_]))*", (t or "").lower())) for t in words}
+    n_e, n_t, n_te, around = Counter(), Counter(), Counter(), defaultdict(set)
+    for _, t in rows:
+        w = words[t]
+        n_e.update({x for x in w if x[0] == "\0"})
+        n_t.update(plain[t])
+        pairs = set()
+        for i, e in enumerate(w):
+            if e[0] == "\0":
+                for j in range(max(0, i - reach), min(len(w), i + reach + 1)):
+                    if w[j][0] != "\0":
+                        pairs.add((e, w[j]))
+                        around[e, w[j]].add(tuple(re.sub(r"\d", "", w[k]) if 0 <= k < len(w) else "" for k in (j - 1, j + 1)))
+        n_te.update(pairs)
+    n, out = len(rows), defaultdict(set)
+    for (e, x), k in n_te.items():
+        information = np.log2(n / n_e[e])
+        if len(around[e, x]) >= contexts and information > 0 and np.log2(k * n / (max(n_t[x], k) * n_e[e])) >= disclosure * information:
+            for i, t in rows:
+                w = words[t]
+                if any(e == w[a] and x == w[b] for a in range(len(w)) for b in range(max(0, a - reach), min(len(w), a + reach + 1))):
+                    out[i].add(x)
+    return out
+
+
+def test_terms_are_those_counted_by_hand(spark):
+    rng = random.Random(9)
+    names, fill = [f"name{c}" for c in "abcdefghij"], [f"w{c}{d}" for c in "abcdefg" for d in "abcdefg"]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(fill) for _ in range(rng.randint(3, 160))]
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(10)
+            at = rng.randrange(len(words))
+            words[at : at + 2] = [f"{names[k]}@example.org", *rng.sample(fill, rng.choice((0, 1, 30))), names[k], rng.choice(["", f"{names[k]}-{k}", f"only{i}"])]
+        rows.append((i, " ".join(words)))
+    rows += [(150, rows[3][1]), (151, None), (152, " ".join(f"namea u{j % 9} a{j}@example.org" for j in range(300)))]
+    said = telling(rows)
+    got = {r.doc_id: {s.value.lower() for s in r.spans if s.kind == "term"} for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(map(len, said.values())) > 5
+    assert {i: x for i, x in got.items() if x} == dict(said)
+
+
 def test_terms_of_rare_entities_and_of_any_form(spark):
     rows = [(1, "Lee wrote, then asked EMP-4471 about it. Why Lee left for EMP-4471 is open; so Lee has mail lee7@example.org, and EMP-4471 too")]
     rows += [(10 + i, f"wrote then asked about it why left for is open so has mail and too number {i}") for i in range(80)]
