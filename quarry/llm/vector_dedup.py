@@ -1,7 +1,7 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, exact rerank.
 
 Learning: on a bounded sample (SAMPLE vectors, those with the smallest hashes of their ids) several
-rotations are learned that make the signs of the rotated, centred vectors balanced binary codes of
+rotations of each length are learned that make the signs of the rotated, centred vectors balanced binary codes of
 small quantisation error (ITQ: alternate between the codes and the orthogonal Procrustes rotation).
 Index: every vector's codes are cut into substrings, one Hamming table each; two vectors meet if a
 substring is the same. Rerank: vectors that meet are compared by cosine of the original vectors in
@@ -13,11 +13,13 @@ parts of about CELL by hash, and each pair of parts is a cell of its own task's
 to fit a task. A pair counts in the first table where it meets alone, so counts need no distinct. Cells
 give the number of links of each class and a spanning forest of the links, never the pairs themselves.
 
-Recall: for a pair at cosine 0.98 a substring of 16 bits is the same with probability 0.36, so 16
-tables miss 0.0008 of such pairs, and fewer of nearer ones (measured in the README).
+Recall: the length of a substring grows with the logarithm of the number of vectors, so that buckets don't fill by chance,
+and the number of tables with it, so that a pair at the threshold misses all with a probability of at most MISS, and
+nearer ones with less (measured by tests/llm/recall.py). Each length of vectors that the sample has FEW times or more has rotations of
+its own; vectors of rarer lengths are compared with all of their label and length, in cells too.
 
 Defined results: null or zero vectors, and vectors that hold null or non-finite components, link with
-nothing, as do vectors with a null label and those of another length than most of the sample; rows
+nothing, as do vectors with a null label; vectors of different lengths aren't compared; rows
 with null ids take part and count last when a smallest id is sought; repeated rows are vectors of
 their own; an empty table gives an empty result; other columns are ignored.
 """
@@ -36,23 +38,36 @@ from quarry.llm.components import components
 
 #: Bound of the sample that rotations are learned on.
 SAMPLE = 20_000
-ROTATIONS, STEPS, BITS, CELL = 4, 40, 16, 512
+STEPS, CELL = 40, 512
+#: Least bits of a substring, vectors of a label for which a bucket may have one by chance, and what a pair may miss all tables with.
+BITS, COMPANY, MISS = 16, 32, 2e-3
+#: Vectors of a length that the sample must have for rotations; rarer lengths are compared whole.
+FEW = 32
 _MET = "a long, b long, n long"
 _MET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
+def shape(n: int, dim: int, threshold: float) -> tuple[int, int]:
+    """Bits of a substring and number of rotations for n vectors: chance company in a bucket stays about the same
+    whatever n is, and a pair at the threshold misses all tables with a probability of at most MISS."""
+    bits = min(dim, max(BITS, int(np.ceil(np.log2(max(n, 1) / COMPANY)))), 62)
+    same = (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** bits
+    tables = np.log(MISS) / np.log1p(-same) if same < 1 else 1
+    return bits, max(1, int(np.ceil(tables / (dim // bits))))
+
+
 class Rotations:
-    """Learned projections of vectors to bits; a few matrices of the dimension's size."""
+    """Learned projections of vectors of one length to bits; a few matrices of the dimension's size."""
 
-    def __init__(self, sample: np.ndarray, seed: int = 11):
+    def __init__(self, sample: np.ndarray, bits: int, rotations: int, seed: int = 11):
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.dim = sample.shape[1]
+        self.dim, self.bits = sample.shape[1], bits
         self.mean = unit.mean(0)
         centred = unit - self.mean
         axes = np.linalg.svd(centred.T @ centred)[0]
         rng, self.planes = np.random.default_rng(seed), []
         projected = centred @ axes
-        for _ in range(ROTATIONS):
+        for _ in range(rotations):
             turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
             for _ in range(STEPS):
                 codes = np.where(projected @ turn >= 0, 1.0, -1.0)
@@ -60,18 +75,15 @@ class Rotations:
                 turn = (u @ v).T
             self.planes.append(axes @ turn)
 
-    @property
-    def tables(self) -> int:
-        return ROTATIONS * -(-self.dim // BITS)
-
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """The substrings of all codes: a row per vector, a column per table."""
         centred = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.mean
-        out = np.zeros((len(vectors), self.tables), np.int32)
+        each = self.dim // self.bits
+        out = np.zeros((len(vectors), len(self.planes) * each), np.int64)
         for r, plane in enumerate(self.planes):
             bits = centred @ plane >= 0
-            for i in range(self.dim):
-                out[:, r * (self.tables // ROTATIONS) + i // BITS] |= bits[:, i].astype(np.int32) << (i % BITS)
+            for i in range(each * self.bits):
+                out[:, r * each + i // self.bits] |= bits[:, i].astype(np.int64) << (i % self.bits)
         return out
 
 
@@ -79,23 +91,31 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
 
 
-def _learn(classes: DataFrame, sample_size: int) -> Rotations | None:
-    """From a sample bounded by sample_size vectors."""
+def _learn(classes: DataFrame, sample_size: int, threshold: float) -> dict[int, Rotations]:
+    """For each length that the sample (bounded by sample_size vectors) has often enough, its rotations."""
     rows = classes.select("vector").orderBy(F.xxhash64("vec_id", "digest"), "digest").limit(sample_size).toArrow().column(0).to_pylist()
     if not rows:
-        return None
-    lengths = np.array([len(r) for r in rows])
-    dim = int(np.bincount(lengths).argmax())
-    return Rotations(np.array([r for r in rows if len(r) == dim], np.float64))
+        return {}
+    n = classes.groupBy("label").count().agg(F.max("count")).first()[0]
+    by_length: dict[int, list] = {}
+    for r in rows:
+        by_length.setdefault(len(r), []).append(r)
+    return {dim: Rotations(np.array(own, np.float64), *shape(n, dim, threshold)) for dim, own in by_length.items() if len(own) >= FEW}
 
 
-def _tables(rotations: Rotations) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tables(rotations: dict[int, Rotations]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of all vectors. Those of a rare length have one key, the same for all: they are compared with each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                keys = rotations.keys(_matrix(part.column(1), rotations.dim))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k.tolist() for k in keys], pa.list_(pa.int32()))], names=["node", "keys"])
+                dims, keys = np.diff(part.column(1).offsets.to_numpy()), [[0]] * part.num_rows
+                for dim in set(dims.tolist()) & rotations.keys():
+                    at = np.flatnonzero(dims == dim)
+                    for i, own in zip(at.tolist(), rotations[dim].keys(_matrix(part.column(1).take(pa.array(at)), dim)).tolist(), strict=True):
+                        keys[i] = own
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dims.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "dim", "keys"])
 
     return run
 
@@ -109,11 +129,12 @@ class _Cell:
     def add(self, part: pa.RecordBatch) -> None:
         self.parts.append(part)
 
-    def met(self, threshold: float, dim: int, table: int) -> Iterator[pa.RecordBatch]:
+    def met(self, threshold: float) -> Iterator[pa.RecordBatch]:
         """Links of the cell: counts per class (a = the class, n = linked vectors), and a forest (a > b, n = 0)."""
         rows = pa.concat_batches(self.parts) if len(self.parts) > 1 else self.parts[0]
         if rows.num_rows < 2:
             return
+        _, dim, table, *_ = self.cell
         node, weight, side = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("node", "weight", "side"))
         vectors = _matrix(rows.column(rows.schema.get_field_index("vector")), dim)
         keys = np.asarray(rows.column(rows.schema.get_field_index("keys")).flatten()).reshape(len(node), -1)
@@ -154,14 +175,16 @@ class _Cell:
             )
 
 
-def _rerank(threshold: float, dim: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_CELL_KEY = ["label", "dim", "table", "key", "part_a", "part_b"]
+
+
+def _rerank(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over rows in the order of their cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: _Cell | None = None
         for batch in batches:
-            names = ("label", "table", "key", "part_a", "part_b")
-            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _CELL_KEY]
             changes = np.zeros(batch.num_rows, bool)
             for c in columns:
                 changes[1:] |= c[1:] != c[:-1]
@@ -172,29 +195,29 @@ def _rerank(threshold: float, dim: int) -> Callable[[Iterator[pa.RecordBatch]],
                 own = tuple(c[low].item() for c in columns)
                 if cell is None or cell.cell != own:
                     if cell is not None:
-                        yield from cell.met(threshold, dim, cell.cell[1])
+                        yield from cell.met(threshold)
                     cell = _Cell(own)
                 cell.add(batch.slice(low, high - low))
         if cell is not None:
-            yield from cell.met(threshold, dim, cell.cell[1])
+            yield from cell.met(threshold)
 
     return run
 
 
-def _cells(classes: DataFrame, codes: DataFrame, cell: int) -> DataFrame:
+def _cells(classes: DataFrame, codes: DataFrame, cell: int) -> tuple[DataFrame, list[DataFrame]]:
     """Rows of the cells of all buckets with company: the class with its vector and codes, once for each
-    cell that its part of the bucket is in."""
-    placed = codes.select("node", "label", F.posexplode("keys").alias("table", "key"))
-    sizes = placed.groupBy("label", "table", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    cell that its part of the bucket is in; and what was written for it."""
+    placed = codes.select("node", "label", "dim", F.posexplode("keys").alias("table", "key"))
+    bucket = ["label", "dim", "table", "key"]
+    sizes = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = materialize(sizes.withColumn("parts", F.ceil(F.col("size") / cell).cast("int")), "buckets")
-    members = placed.join(sizes, ["label", "table", "key"]).withColumn("own", F.pmod(F.xxhash64("node", "table"), F.col("parts")).cast("int"))
+    members = placed.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("node", "table"), F.col("parts")).cast("int"))
     other = F.sequence(F.lit(0), F.col("parts") - 1)
-    members = materialize(members.select("node", "label", "table", "key", "own", F.explode(other).alias("other")), "members")
+    members = materialize(members.select("node", *bucket, "own", F.explode(other).alias("other")), "members")
     full = materialize(classes.join(codes.select("node", "keys"), "node").select("node", "weight", "vector", "keys"), "coded")
     rows = members.join(full, "node")
-    rows = rows.select("label", "table", "key", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "weight", "vector", "keys")
-    by = ["label", "table", "key", "part_a", "part_b"]
-    return rows.repartition(*by).sortWithinPartitions(*by)
+    rows = rows.select(*bucket, F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "weight", "vector", "keys")
+    return rows.repartition(*_CELL_KEY).sortWithinPartitions(*_CELL_KEY), [sizes, members, full]
 
 
 def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
@@ -211,21 +234,19 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     first = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id")).alias("least")
     classes = usual.groupBy("label", "digest").agg(first, F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.select("label", "digest", "least.vec_id", "weight", "vector", F.monotonically_increasing_id().alias("node")), "classes")
-    rotations = _learn(classes, sample)
-    if rotations is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    comparable = classes.where(F.size("vector") == rotations.dim)
-    keys = comparable.select("node", "vector").mapInArrow(_tables(rotations), "node long, keys array<int>")
-    codes = materialize(keys.join(comparable.select("node", "label"), "node"), "codes")
-    met = materialize(_cells(comparable, codes, cell).mapInArrow(_rerank(threshold, rotations.dim), _MET), "met")
+    keys = classes.select("node", "vector").mapInArrow(_tables(_learn(classes, sample, threshold)), "node long, dim int, keys array<long>")
+    codes = materialize(keys.join(classes.select("node", "label"), "node"), "codes")
+    cells, written = _cells(classes, codes, cell)
+    met = materialize(cells.mapInArrow(_rerank(threshold), _MET), "met")
+    discard(codes, *written)
     counts = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    roots = components(met.where("n = 0"))
+    roots = materialize(components(met.where("n = 0")), "roots")
     placed = classes.select("node", "label", "digest", "vec_id", "weight").join(counts, "node", "left").join(roots, "node", "left")
     placed = materialize(placed.withColumn("root", F.coalesce("root", "node")), "placed")
     least = materialize(placed.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
     labels = placed.join(least, "root").select("label", "digest", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     labels = materialize(labels, "labels")
-    discard(classes, codes, met, placed, least)
+    discard(classes, met, roots, placed, least)
     out = rows.select("vec_id", "label", "digest").join(labels, ["label", "digest"], "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
