@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, materialize, text_of
-from quarry.llm.components import components
+from quarry.llm.components import components, joined
 
 #: Trees, values in each, and neighbours on each side that a class meets in an order.
 TREES, DEPTH, NEAR = 10, 12, 8
@@ -407,17 +407,16 @@ def _linked(pairs: DataFrame, crowded: DataFrame, docs: DataFrame, classes: Data
     best = ranked.select(F.col("a").alias("node"), "agree", "b").unionByName(ranked.select(F.col("b").alias("node"), "agree", F.col("a").alias("b")))
     best = best.groupBy("node").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("node", "best.b").alias("a"), F.least("node", "best.b").alias("b"))
     first = _confirmed(best.distinct(), sets, percent)
-    roots = materialize(components(first), "roots")
+    roots = components(first)
     left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     apart = pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = _confirmed(apart, sets, percent)
-    discard(pairs, needed, roots)
-    linked = materialize(components(first.unionByName(second)), "roots")
+    discard(pairs, needed)
+    linked = joined(roots, second)
     met = _apart(crowded, sets, linked, percent)
     third = _confirmed(met, sets, percent)
-    discard(first, second, crowded, sets, met)
-    out = materialize(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(third)), "roots")
-    discard(linked, third)
+    out = joined(linked, third)
+    discard(first, second, third, crowded, sets, met)
     return out
 
 
