@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import line_dedup, near_dedup, packing, pii, queries, toxicity
-from quarry.llm.common import fresh_path, table
+from quarry.llm.common import delete, fresh_path, intermediates, table
 
 #: A document with this score or more is rejected.
 TOXIC = 0.7
@@ -47,11 +47,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages, one after another; what a stage wrote is deleted once its result, and in the end that of the next, is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            path = fresh_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        if at == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)  # reads what the last but one wrote
+        path = fresh_path(spark, f"stage-{name}")
+        with intermediates(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -28,7 +28,11 @@ def test_stages(spark, tmp_path):
             assert docs.where("n_chars <> length(text)").count() == 0 or name == "toxicity"
             before = docs.count()
     assert docs.count() >= before
+    shared = spark.conf.get("spark.checkpoint.dir")
+    held = set(os.listdir(shared))
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+    # What the last stage reads stays: the documents before it, and their tokens.
+    assert sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(shared)) - held) == ["stage-pii", "tokens"]
 
 
 def test_near_dedup_stage_links_at_four_fifths(spark):
@@ -38,6 +42,24 @@ def test_near_dedup_stage_links_at_four_fifths(spark):
     assert [r.doc_id for r in corpus_pipeline.keep_one(spark, docs, DATA).collect()] == [1]
 
 
+def test_fates_are_those_of_the_stages_by_hand(spark):
+    """Each stage's decision on a small corpus, against plain Python."""
+    letters = "abcdefghij"
+    word = lambda i, j: f"{letters[i % 10]}{letters[j % 10]}{letters[(i * j) % 10]}{letters[(i + j) % 10]}{i}"
+    text = lambda i: " ".join(word(i, j) + str(j) for j in range(40))
+    rows = [(i, "Shared footer\n" + text(i)) for i in range(12)] + [(20, text(3) + " more"), (21, text(5)), (22, "write to ann@example.org please " + text(22))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, docs, DATA).collect()}
+    assert lines == {i: t.removeprefix("Shared footer\n") for i, t in rows}
+    stage = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in lines.items()], docs.schema)
+    one = corpus_pipeline.keep_one(spark, stage, DATA)
+    assert {r.doc_id for r in one.collect()} == {*range(12), 22}
+    clean = {r.doc_id: r.text for r in corpus_pipeline.sanitise(spark, one, DATA).collect()}
+    assert "ann@example.org" not in clean[22] and "[EMAIL]" in clean[22] and clean[4] == text(4)
+    pieces = corpus_pipeline.pack(spark, one, DATA).collect()
+    assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
 def test_each_stage_takes_awkward_tables(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, "some text of a few words here", "en", "a", 29), (3, "mail bob@example.org now", None, "b", 24)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
