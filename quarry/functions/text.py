@@ -64,10 +64,11 @@ def hashtag(c: Column, longest: int = 28) -> Column:
 
 
 def city_state(address: Column) -> Column:
+    """Of street, city, state and more the city and the state's first word; of two parts both; else the address as it is."""
     parts = F.filter(F.transform(F.split(address, ","), lambda p: F.trim(p)), lambda p: p != "")
-    state = lambda p: F.get(F.split(p, " "), F.lit(0))
     n = F.size(parts)
-    return F.when(n >= 3, F.concat_ws(", ", F.get(parts, n - 2), state(F.get(parts, n - 1)))).when(n == 2, F.concat_ws(", ", F.get(parts, F.lit(0)), state(F.get(parts, F.lit(1))))).otherwise(address)
+    long = F.concat_ws(", ", F.get(parts, F.lit(1)), F.get(F.split(F.get(parts, F.lit(2)), " "), F.lit(0)))
+    return F.when(n >= 3, long).when(n == 2, F.array_join(parts, ", ")).otherwise(address)
 
 
 def tidy_text(c: Column) -> Column:

@@ -60,13 +60,13 @@ def long_post(headline: Column, address: Column, lines: list[Column], sections:
     earlier section has, whatever its case and punctuation, isn't repeated, and empty sections go."""
     blocks, seen = [], F.array().cast("array<string>")
     for title, items in sections:
-        fresh = _fresh(items, seen)
+        fresh = fresh(items, seen)
         seen = F.concat(seen, F.transform(items, text.feature_key))
         blocks.append(F.when(F.size(fresh) > 0, F.concat(F.lit(f"\n{title}\n"), F.array_join(F.transform(fresh, lambda x: F.concat(F.lit("- "), x)), "\n"))))
     return F.concat(F.trim(F.concat_ws("\n", headline, address, F.lit(""), *lines, *blocks)), F.lit("\n"))
 
 
-def _fresh(items: Column, earlier: Column) -> Column:
+def fresh(items: Column, earlier: Column) -> Column:
     """Items whose key no earlier section has, each key once, first wording first."""
     keys = F.transform(items, text.feature_key)
     return F.filter(items, lambda x, i: ~F.array_contains(earlier, text.feature_key(x)) & (F.array_position(keys, text.feature_key(x)) == i + 1))
