@@ -60,9 +60,9 @@ def long_post(headline: Column, address: Column, lines: list[Column], sections:
     earlier section has, whatever its case and punctuation, isn't repeated, and empty sections go."""
     blocks, seen = [], F.array().cast("array<string>")
     for title, items in sections:
-        fresh = fresh(items, seen)
+        kept = fresh(items, seen)
         seen = F.concat(seen, F.transform(items, text.feature_key))
-        blocks.append(F.when(F.size(fresh) > 0, F.concat(F.lit(f"\n{title}\n"), F.array_join(F.transform(fresh, lambda x: F.concat(F.lit("- "), x)), "\n"))))
+        blocks.append(F.when(F.size(kept) > 0, F.concat(F.lit(f"\n{title}\n"), F.array_join(F.transform(kept, lambda x: F.concat(F.lit("- "), x)), "\n"))))
     return F.concat(F.trim(F.concat_ws("\n", headline, address, F.lit(""), *lines, *blocks)), F.lit("\n"))
 
 
