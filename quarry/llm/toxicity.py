@@ -122,6 +122,10 @@ def _arranged(dense: np.ndarray, ids: np.ndarray, steps: int = 5) -> np.ndarray:
     return np.lexsort((ids, group))
 
 
+#: What a bank builds from its postings on first use.
+_INDEX = ("blocks", "dense", "block_max", "frequent", "row", "value", "start")
+
+
 class Bank:
     """The examples' index and the calibration; small enough to send to every task.
 
@@ -133,33 +137,46 @@ class Bank:
         self.keys, self.weight, self.k, self.curve, self.sent = keys, weight, k, np.zeros(4), None
         self.ids, self.labels, self.twins = ids, labels.astype(np.float64), twins
         self._hold(row, term, count)
-        self._build()
         place = _arranged(self.dense.reshape(len(self.dense), self.blocks * BLOCK)[:, : len(ids)], ids)
-        back = np.empty(len(ids), np.int64)
+        self._release()
+        back = np.empty(len(ids), np.int32)
         back[place] = np.arange(len(ids))
         self.ids, self.labels, self.twins = self.ids[place], self.labels[place], self.twins[place]
         self._hold(back[row], term, count)
-        self._build()
 
     def _hold(self, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
         """Postings by term, then row, in few bytes: this is what is sent."""
-        order = np.lexsort((row, term))
+        order = np.argsort(term.astype(np.int64) * len(self.ids) + row)
         least = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         self.postings = least(np.bincount(term, minlength=len(self.keys))), least(row[order]), least(count[order])
+        self._release()
+
+    def _release(self) -> None:
+        """Drop the index, which is built anew where neighbours are looked for: the driver only sends the postings."""
+        for name in _INDEX:
+            self.__dict__.pop(name, None)
+
+    def __getattr__(self, name: str):
+        if name not in _INDEX:
+            raise AttributeError(name)
+        self._build()
+        return self.__dict__[name]
 
     def __getstate__(self) -> tuple:
         return self.keys, self.weight, self.k, self.curve, self.ids, self.labels, self.twins, self.postings
 
     def __setstate__(self, state: tuple) -> None:
         self.keys, self.weight, self.k, self.curve, self.ids, self.labels, self.twins, self.postings = state
-        self._build()
+        self.sent = None
+        self._release()
 
     def _build(self) -> None:
         n, (df, row, count) = len(self.ids), self.postings
-        df, row = df.astype(np.int64), row.astype(np.int64)
-        term = np.repeat(np.arange(len(self.keys)), df)
+        df, row = df.astype(np.int64), row.astype(np.int32)
+        term = np.repeat(np.arange(len(self.keys), dtype=np.int32), df)
         self.blocks = -(-n // BLOCK)
-        value = (1 + np.log(count)) * self.weight[term]
+        value = self.weight[term]
+        value *= 1 + np.log(count, dtype=np.float64)  # of bytes it would be in half precision
         norm = np.sqrt(np.bincount(row, value * value, minlength=n))
         value = (value / np.where(norm > 0, norm, 1)[row]).astype(np.float32)
         #: The number of a frequent term; -1 for others.
@@ -281,12 +298,15 @@ def told(ones: np.ndarray, zeros: np.ndarray, n_one: int, n_zero: int) -> np.nda
 
 def bank_of(ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndarray, hashes: np.ndarray, count: np.ndarray, frequencies: Callable[[np.ndarray], tuple[int, np.ndarray]], k: int) -> Bank:
     """A bank without calibration; frequencies: from the terms' hashes to the number of all documents and of those with each."""
-    keys, term = np.unique(hashes, return_inverse=True)
+    keys = np.unique(hashes)
+    term = np.empty(len(hashes), np.int32)
+    for low in range(0, len(hashes), CHUNK):
+        term[low : low + CHUNK] = np.searchsorted(keys, hashes[low : low + CHUNK])
     n, df = frequencies(keys)
     ones = np.bincount(term, labels[row], minlength=len(keys))
     zeros = np.bincount(term, minlength=len(keys)) - ones
     idf = np.log((n + 1) / (np.minimum(df, n) + 0.5))
-    return Bank(keys, idf * told(ones, zeros, int(labels.sum()), int(len(labels) - labels.sum())), ids, labels, twins, row, term.astype(np.int64), count, k)
+    return Bank(keys, idf * told(ones, zeros, int(labels.sum()), int(len(labels) - labels.sum())), ids, labels, twins, row, term, count, k)
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,11 +359,12 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX
     sample = sample.select(F.col("doc_id").alias("id"), (F.col("label") > 0).cast("int").alias("label"), "text").mapInArrow(_vectors, "id long, label int, twin long, hashes binary, n binary")
     written = materialize(sample, "examples")
     # An id may be on several rows; of these too no more than max_examples are taken.
-    found = written.orderBy(F.xxhash64("id"), "id", "twin").limit(max_examples).toArrow()
-    discard(written)
+    examples = written.orderBy(F.xxhash64("id"), "id", "twin").limit(max_examples)
+    found = examples.toArrow()
     ids, y, twins = (found.column(c).to_numpy() for c in ("id", "label", "twin"))
     n_one, n_zero = int(y.sum()), int(len(y) - y.sum())
     if not n_one or not n_zero:
+        discard(written)
         nothing = np.zeros(0, np.int64)
         bank = Bank(np.zeros(0, np.uint64), np.zeros(0), nothing, nothing, nothing, nothing, nothing, np.zeros(0), k)
         share = n_one / (n_one + n_zero) if n_one else 0.0
@@ -351,14 +372,18 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX
         return bank
     hashes = np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h in found.column("hashes")])
     counts = np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in found.column("n")])
-    row = np.repeat(np.arange(len(ids)), [len(h.as_buffer()) // 8 for h in found.column("hashes")])
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), [len(h.as_buffer()) // 8 for h in found.column("hashes")])
+    del found
     bank = bank_of(ids, y, twins, row, hashes, counts, lambda keys: _document_frequencies(docs.select(text.alias("text")), keys), k)
-    bank.curve = _calibration(docs.sparkSession, bank, found.select(["label", "twin", "hashes", "n"]))
+    del hashes, counts, row
+    bank.curve = _calibration(bank, examples.select("label", "twin", "hashes", "n"))
+    discard(written)
     return bank
 
 
-def _calibration(spark: SparkSession, bank: Bank, found: pa.Table) -> np.ndarray:
+def _calibration(bank: Bank, examples: DataFrame) -> np.ndarray:
     """The curve over each example's evidence from the others; bounded by max_examples rows."""
+    spark = examples.sparkSession
     shared = bank.shared(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +394,7 @@ def _calibration(spark: SparkSession, bank: Bank, found: pa.Table) -> np.ndarray
             got = [seen.tolist() for seen, _, _ in own.evidence(counted, twins)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.float64()))], names=["label", "seen"])
 
-    rows = spark.createDataFrame(found).repartition(spark.sparkContext.defaultParallelism)
+    rows = examples.repartition(spark.sparkContext.defaultParallelism)
     seen = rows.mapInArrow(run, "label int, seen array<double>").toArrow()
     return _logistic(np.array(seen.column("seen").to_pylist()), seen.column("label").to_numpy().astype(np.float64))
 
