@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, toxicity, vector_dedup
+from quarry.llm import bpe, centroids, chat, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, spelling, toxicity, vector_dedup, warc
 from quarry.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -78,6 +78,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"), revisit_from=100)
+    rows = warc.index_of(warc.read(archives))
+    return rows.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, scale=1024, seed=3)
+    written = F.array_join("centroid", ",").cast("binary")
+    return rows.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html_text": op2_html_text,
@@ -89,10 +105,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_pii": op10_pii,
+    "op11_spelling": op11_spelling,
+    "op12_warc": op12_warc,
+    "op13_centroids": op13_centroids,
 }
 
 _SQL_WHITE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _lloyd_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Lloyd's rounds as a chain of tables: a is the assignment, c the centroids."""
+    parts = [
+        rf"""kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        rf"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM kept ORDER BY h, x LIMIT {k}))""",
+    ]
+    for at in range(rounds + 1):
+        parts.append(
+            rf"""a{at} AS MATERIALIZED (
+            SELECT r, arg_min(c, {k} * distance + c) AS c, min(distance) AS distance FROM (
+                SELECT kept.r, c.c, list_sum(list_transform(list_zip(kept.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept CROSS JOIN c{at} c) GROUP BY r)"""
+        )
+        if at < rounds:
+            parts.append(
+                rf"""c{at + 1} AS MATERIALIZED (
+            SELECT c.c, coalesce(m.x, c.x) AS x FROM c{at} c LEFT JOIN (
+                SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS x FROM (
+                    SELECT c, place, sum(v)::BIGINT AS s, count(*) AS n FROM (
+                        SELECT a.c, unnest(kept.x) AS v, generate_subscripts(kept.x, 1) AS place FROM a{at} a JOIN kept USING (r)) GROUP BY c, place) GROUP BY c) m USING (c))"""
+            )
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, a.c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLES: dict[str, str] = {
     "op3_near_dedup": rf"""
         WITH RECURSIVE docs AS (
@@ -150,4 +201,10 @@ ORACLES: dict[str, str] = {
             UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
         least AS (SELECT reach.a AS r, min(o.vec_id) AS component_id FROM reach JOIN v o ON o.r = reach.b GROUP BY 1)
         SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.r) AS n_links, component_id, v.vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN least USING (r)""",
+    "op12_warc": r"""
+        WITH given AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        told AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS stored FROM given)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM stored THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM stored THEN stored END AS refers_to FROM told""",
+    "op13_centroids": _lloyd_sql(),
 }
