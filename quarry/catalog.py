@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import feed, normalize, photos, posts, stickers, sync, vehicle_posts
+from quarry.plans import feed, normalize, photo_cache, photos, posts, stickers, sync, vehicle_posts
 from quarry.streaming import incremental
 
-_FAMILIES = (feed, normalize, sync, photos, posts, stickers, vehicle_posts, incremental)
+_FAMILIES = (feed, normalize, sync, photos, photo_cache, posts, stickers, vehicle_posts, incremental)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _FAMILIES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _FAMILIES for k, s in m.ORACLES.items()}

@@ -57,10 +57,11 @@ def known_or_new(live: DataFrame, manifest: DataFrame, key: str, valid: Column)
     return live.join(held, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def latest(events: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last state of each key."""
+def latest(events: DataFrame, key: Sequence[str], order: Sequence[str | Column], last: bool = True) -> DataFrame:
+    """The last (or first) row of each key."""
     rest = [c for c in events.columns if c not in key]
-    return events.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
+    by = F.max_by if last else F.min_by
+    return events.groupBy(*key).agg(by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*key, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, kept: Sequence[str] = ()) -> DataFrame:

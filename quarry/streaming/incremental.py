@@ -1,58 +1,35 @@
 """The incremental sync as streams: state per key from micro-batches, and windows over event time.
 
-State tables are written as versions beside each other, and a batch that ran before isn't applied again, so
-a restart after a lost driver or executor goes on where it was.
+State tables commit a batch by one renamed file, and a batch that ran before isn't applied again, so a restart after a
+lost driver or executor goes on where it was.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.keyed import latest
-from quarry.sources.tables import table
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """An unused folder that all machines see, below spark.checkpoint.dir."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from quarry.sources.tables import shared_folder, table
+from quarry.sources.versions import BucketTable
 
 
 class LatestState:
-    """A table with the latest row of each key, kept by foreachBatch."""
-
-    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], order: Sequence[str]):
-        self.spark, self.folder, self.key, self.order = spark, folder.rstrip("/"), list(key), list(order)
+    """A table with the latest row of each key, kept by foreachBatch. Keys are hashed into buckets, and a batch rewrites only
+    those it touches."""
 
-    def _versions(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v*/_SUCCESS")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
-        return sorted(int(re.search(r"/v(\d+)/_SUCCESS$", str(s.getPath()))[1]) for s in found)
+    def __init__(self, spark: SparkSession, folder: str, key: Sequence[str], order: Sequence[str], buckets: int = 32):
+        self.key, self.order = list(key), list(order)
+        self.table = BucketTable(spark, folder, self.key, buckets)
 
     def read(self) -> DataFrame | None:
-        versions = self._versions()
-        return self.spark.read.parquet(f"{self.folder}/v{versions[-1]}") if versions else None
+        return self.table.read()
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         """A foreachBatch function; a batch that was applied isn't again."""
-        versions = self._versions()
-        if versions and versions[-1] >= batch_id:
-            return
-        old = self.read()
-        rows = batch if old is None else old.unionByName(batch)
-        latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
+        self.table.merge(batch, lambda rows: latest(rows, self.key, self.order), batch_id)
 
 
 def event_stream(spark: SparkSession, d: str, name: str = "events") -> DataFrame:
