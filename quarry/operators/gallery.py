@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numbers import cosine, dot, norm
+from quarry.operators import sequences
 
 
 def _sums(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -35,6 +36,28 @@ def foreign(df: DataFrame, key: str, certain: float, doubtful: float, distance:
     return flagged.join(share, key).withColumn("foreign", F.col("_flag") & (F.col("_share") <= most)).drop("_flag", "_share")
 
 
+def colour_distance(df: DataFrame, key: str, colour: str, name: str, channels: int = 3, hot: bool = True) -> DataFrame:
+    """Adds distance: of a member's colour to the median colour of the gallery's other members (null without a colour, or if alone).
+    hot: a gallery may hold any share of the rows, so ranks come from a distributed sort; else galleries are small, and a window ranks them.
+
+    Without the member of rank r, the sorted values of a channel are those of all n members with r left out, so the medians of
+    all n galleries-less-one are among the three values around the middle: they are read off by rank, once per gallery and channel."""
+    flat = df.where(F.col(colour).isNotNull()).select(key, name, F.posexplode(F.transform(colour, lambda c: c.cast("double"))).alias("channel", "value"))
+    if hot:
+        ranks = sequences.ranked(flat, [key, "channel"], ["value", name])
+    else:
+        ranks = flat.withColumn("rank", F.row_number().over(Window.partitionBy(key, "channel").orderBy("value", name)) - 1)
+    sizes = ranks.groupBy(key, "channel").agg(F.count(F.lit(1)).alias("n"))
+    # Of the n - 1 others the middle ones are at places (n - 2) div 2 and (n - 1) div 2; leaving out a rank up to a place moves it on by one.
+    low, high = F.floor((F.col("n") - 2) / 2), F.floor((F.col("n") - 1) / 2)
+    spread = ranks.join(sizes, [key, "channel"])
+    middle = spread.where(F.col("rank").between(low, high + 1)).groupBy(key, "channel").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("around"))  # three at most
+    at = lambda place: F.get(F.col("around"), (place + F.when(F.col("rank") <= place, 1).otherwise(0) - low).cast("int"))["value"]
+    gap = F.when(F.col("n") > 1, F.col("value") - (at(low) + at(high)) / 2)
+    apart = spread.join(middle, [key, "channel"]).groupBy(key, name).agg(F.when(F.count(gap) == channels, F.sqrt(F.sum(gap * gap))).alias("distance"))
+    return df.join(apart, [key, name], "left")
+
+
 def label_by_prototype(df: DataFrame, vector: str, prototypes: DataFrame, keep: Sequence[str], scale: float = 100.0) -> DataFrame:
     """keep, best label and its softmax share. prototypes (label, prototype): a label set, a few dozen rows at
     most by definition, which is checked before it goes to all tasks."""

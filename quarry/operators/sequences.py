@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.tables import written
+
 
 def with_neighbours(df: DataFrame, key: Sequence[str], order: str, value: str) -> DataFrame:
     """Adds left and right: the value before and after, around the ends."""
@@ -58,6 +60,17 @@ def longest_run(df: DataFrame, key: Sequence[str], order: str, flag: str, last_w
     return runs.groupBy(*key).agg(F.max_by(F.struct("start", "stop", "length"), F.struct(F.col("length"), tie)).alias("_best")).select(*key, "_best.*")
 
 
+def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Adds the row's rank (from 0) among its key's, for keys that may hold any share of the rows: rows are range-partitioned by key and
+    order and written, ranked within their partition, and moved on by the counts of the partitions before. No key is gathered in a task."""
+    dealt = written(df.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    counts = dealt.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per key and partition that holds it
+    before = F.sum("_n").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*key, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_local", local).join(starts, [*key, "_part"]).withColumn(name, F.col("_local") + F.col("_start")).drop("_local", "_start", "_part")
+
+
 def leading(df: DataFrame, key: Sequence[str], order: str, ok: Column) -> DataFrame:
     """The rows of each key before the first that isn't ok."""
     w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
