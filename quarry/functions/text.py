@@ -140,3 +140,9 @@ def first_extracted(text: Column, extractors: list[tuple[str, str]]) -> tuple[Co
     """The first extractor (name, marker) in order that finds an object: the object and the name."""
     found = [(name, balanced_json(text, marker)) for name, marker in extractors]
     return F.coalesce(*(c for _, c in found)), F.coalesce(*(F.when(c.isNotNull(), F.lit(n)) for n, c in found))
+
+
+def titled(c: Column) -> Column:
+    """Title case as columns alone: a letter after what is no letter is upper-cased, all others are lower-cased."""
+    starts = F.split(F.lower(c), r"(?<![\p{Lu}\p{Ll}\p{Lt}])(?=[\p{Lu}\p{Ll}\p{Lt}])")
+    return F.array_join(F.transform(starts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), "")

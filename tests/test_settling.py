@@ -94,10 +94,10 @@ def photos_of(rng):
     for g in range(6):
         base = rng.normal(size=4) * 3
         paint = rng.integers(0, 255, 3).astype(float)
-        for i in range(int(rng.integers(2, 9))):
+        for i in range(int(rng.integers(3, 8))):
             odd = rng.random() < 0.25
             rows.append({"gallery": g, "name": f"{g}-e{i}", "place": "exterior", "number": i + 1, "odd": odd, "base": base, "paint": paint, "category": "exterior", "wheel": False, "cut_ok": True})
-        for i in range(int(rng.integers(1, 6))):
+        for i in range(int(rng.integers(1, 4))):
             category = ["exterior", "interior", None][int(rng.choice(3, p=[0.75, 0.15, 0.1]))]
             rows.append({"gallery": g, "name": f"{g}-i{i}", "place": "interior", "number": i + 1, "odd": rng.random() < 0.5, "base": base, "paint": paint, "category": category, "wheel": bool(rng.random() < 0.1), "cut_ok": bool(rng.random() < 0.85)})
     for r in rows:
