@@ -2,7 +2,7 @@
 
 Base: emails, IP addresses, payment cards and telephone numbers by pattern and validity. Each value
 found is a protected entity. Information-theoretic step: over all documents it is counted how often
-a term occurs (outside base matches) together with an entity, within `reach` words of a mention. Where the entity is taken out, such a
+a term occurs (outside base matches) in the documents of an entity, anywhere in them. Where the entity is taken out, such a
 term may still tell it: it gives PMI(term, entity) = log2(n_te N / (n_t n_e)) of the entity's
 information log2(N / n_e). Terms that give at least `disclosure` of it and do so in at least
 `contexts` different neighbourhoods of words (so copies of one text are one observation) are
@@ -15,8 +15,8 @@ only where a run starts, so time is linear in a text and the stack isn't used, h
 
 Scale: documents are written once with their base spans, so the patterns run once. What a document loses depends on its
 text alone, so results go back to documents by the hash of the text; only documents with base matches are shuffled with their text.
-A mention brings the words within reach of it and no more, so rows are bounded by matches times reach, however long
-a text and however many entities are in it. Term counts are
+Entities that stand in the same texts are counted as one class, so a text with any number of entities of its own is counted once for all of
+them; beyond that a text has a row for each of its classes and different words. Term counts are
 pre-aggregated in tasks. Both sides of joins on hot keys are plain exchanges that AQE can split.
 
 Defined results: null or empty text has no spans; ids may be null or repeat; an empty table gives an
@@ -170,38 +170,37 @@ def _observed(text: Column, base: Column) -> Column:
     return _termed(marked)
 
 
-def _telling_terms(docs: DataFrame, found: DataFrame, disclosure: float, contexts: int, reach: int) -> DataFrame:
+def _telling_terms(docs: DataFrame, found: DataFrame, disclosure: float, contexts: int) -> DataFrame:
     """t1, t2, terms: texts with entities, and the terms in them that give these away."""
     texts = materialize(found.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words")), "pii-texts")
     is_entity = lambda w: w.startswith(_MARKS[0])
-    # A mention with the words about it: their number for a text is bounded by its matches, not by matches times words.
-    at = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: is_entity(F.element_at("words", i)))
-    near = lambda i: F.slice("words", F.greatest(i - reach - 1, F.lit(1)), F.least(i + reach + 1, F.size("words")) - F.greatest(i - reach - 1, F.lit(1)) + 1)
-    mentions = texts.where(F.size("words") > 0).select("t1", "t2", "copies", F.explode(F.transform(at, lambda i: F.struct(F.element_at("words", i).alias("entity"), (i - F.greatest(i - reach - 1, F.lit(1))).alias("own"), near(i).alias("near")))).alias("m"))
-    mentions = mentions.select("t1", "t2", "copies", "m.entity", "m.own", "m.near")
-    often = texts.select("copies", F.explode(F.array_distinct(F.filter("words", is_entity))).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"))
+    # Entities that stand in the very same texts have the same counts with every term: they are one class, told by hashes of those texts.
+    held = texts.select("t1", "t2", "copies", F.explode(F.array_distinct(F.filter("words", is_entity))).alias("entity"))
+    often = held.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.bit_xor(F.xxhash64("t1", "t2")).alias("c1"), F.bit_xor(F.xxhash64("t2", "t1")).alias("c2"))
     often = materialize(often, "pii-often")
+    classes = materialize(held.join(often, "entity").select("t1", "t2", "copies", "c1", "c2", "n_e").distinct(), "pii-classes")
     # Neighbours that differ in numbers only are one neighbourhood.
-    beside = lambda by: F.regexp_replace(F.coalesce(F.get("near", F.col("at") + by), F.lit("")), r"\p{N}", "")
-    used = mentions.select("t1", "t2", "copies", "entity", "own", "near", F.posexplode("near").alias("at", "term"))
-    used = used.where((F.abs(F.col("at") - F.col("own")) <= reach) & ~is_entity(F.col("term")))
-    used = used.select("t1", "t2", "copies", "entity", "term", F.xxhash64(beside(-1), beside(1)).alias("context"))
-    # One row for each entity, term and neighbourhood; then one for each entity and term.
-    seen = used.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("uses")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
-    likely = materialize(seen.where(F.col("contexts") >= contexts).select("entity", "term"), "pii-likely")
-    together = used.select("t1", "t2", "copies", "entity", "term").distinct().join(likely, ["entity", "term"])
+    beside = lambda i: F.regexp_replace(F.coalesce(F.get("words", i), F.lit("")), r"\p{N}", "")
+    uses = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context")))
+    uses = F.array_distinct(F.filter(uses, lambda u: ~is_entity(u["term"])))
+    used = texts.select("t1", "t2", F.explode(uses).alias("u")).select("t1", "t2", "u.term", "u.context").join(classes, ["t1", "t2"])
+    # One row for each class, term and neighbourhood; then one for each class and term.
+    seen = used.groupBy("c1", "c2", "term", "context").agg(F.count(F.lit(1)).alias("uses")).groupBy("c1", "c2", "term").agg(F.count(F.lit(1)).alias("contexts"))
+    likely = materialize(seen.where(F.col("contexts") >= contexts).select("c1", "c2", "term"), "pii-likely")
+    own = F.array_distinct(F.filter("words", lambda w: ~is_entity(w)))
+    together = texts.select("t1", "t2", F.explode(own).alias("term")).join(classes, ["t1", "t2"]).join(likely, ["c1", "c2", "term"])
     together = materialize(together, "pii-together")
-    pairs = together.groupBy("entity", "term").agg(F.sum("copies").alias("n_te"))
+    pairs = together.groupBy("c1", "c2", "n_e", "term").agg(F.sum("copies").alias("n_te"))
     every = F.array_distinct(_termed(F.lower(docs["text"])))
     n_t = docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     # n is one row.
-    scored = pairs.join(n_t, "term").join(often, "entity").join(F.broadcast(n))
+    scored = pairs.join(n_t, "term").join(F.broadcast(n))
     information = F.log2(F.col("n") / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.col("n") / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    chosen = materialize(scored.where((information > 0) & (told >= disclosure * information)).select("entity", "term"), "pii-terms")
-    out = materialize(together.join(chosen, ["entity", "term"]).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii-telling")
-    discard(texts, often, likely, together, chosen)
+    chosen = materialize(scored.where((information > 0) & (told >= disclosure * information)).select("c1", "c2", "term"), "pii-terms")
+    out = materialize(together.join(chosen, ["c1", "c2", "term"]).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("term")).alias("terms")), "pii-telling")
+    discard(texts, often, classes, likely, together, chosen)
     return out
 
 
@@ -219,7 +218,7 @@ def _with_terms(docs: DataFrame, text: Column) -> DataFrame:
     return docs.withColumns(found).withColumn("_spans", F.concat("_base", F.filter(_placed("term", F.col("_m_term"), F.col("_g_term")), clear)))
 
 
-def sanitise(docs: DataFrame, disclosure: float = 0.9, contexts: int = 3, text_col: str = "text", reach: int = 50) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = 0.9, contexts: int = 3, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with n_email, n_ip, n_card, n_phone, spans (base ones by kind and start,
     then terms by start) and clean_text, where each span is replaced by its kind."""
     docs = docs.drop(*NEW)
@@ -232,7 +231,7 @@ def sanitise(docs: DataFrame, disclosure: float = 0.9, contexts: int = 3, text_c
     some = based.where(F.size("_base") > 0)
     keys = [F.xxhash64(text).alias("t1"), F.hash(text).alias("t2")]
     found = some.select(*keys, _observed(text, F.col("_base")).alias("words"))
-    terms = _telling_terms(based.select(text.alias("text")), found, disclosure, contexts, reach).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("terms").alias("_terms"))
+    terms = _telling_terms(based.select(text.alias("text")), found, disclosure, contexts).select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("terms").alias("_terms"))
     joined = some.withColumns({"_t1": keys[0], "_t2": keys[1]}).join(terms, ["_t1", "_t2"], "left")
     none = F.array().cast(_SPANS)
     joined = _with_terms(joined, text)

@@ -240,7 +240,7 @@ def test_telling_terms_are_generalised(spark):
     assert got[8].clean_text == "Zorblax alone" and all(not got[100 + i].spans for i in range(60))
 
 
-def telling(rows, reach=50, disclosure=0.9, contexts=3):
+def telling(rows, reach=10**9, disclosure=0.9, contexts=3):
     """doc_id -> terms to generalise, counted by hand."""
     pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     term = re.compile(r"\0[^ ]*|[^\W_](?:[^\W_]|-(?=[^\W_]))*")
@@ -288,6 +288,13 @@ def test_terms_are_those_counted_by_hand(spark):
     assert {i: x for i, x in got.items() if x} == dict(said)
 
 
+def test_a_term_tells_however_far_from_the_entity(spark):
+    rows = [(i, f"{'abcdefgh'[i] * 4} Zebulon {'stuvwxyz'[i] * 4} " + " ".join(f"fill{j}" for j in range(60)) + " zeb@example.org and zeb2@example.org") for i in range(8)]
+    rows += [(100 + i, " ".join(f"fill{j}" for j in range(60)) + f" {i}") for i in range(80)]
+    got = {r.doc_id: {s.value for s in r.spans if s.kind == "term"} for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == {"Zebulon"} for i in range(8)) and not any(got[100 + i] for i in range(80))
+
+
 def test_terms_of_rare_entities_and_of_any_form(spark):
     rows = [(1, "Lee wrote, then asked EMP-4471 about it. Why Lee left for EMP-4471 is open; so Lee has mail lee7@example.org, and EMP-4471 too")]
     rows += [(10 + i, f"wrote then asked about it why left for is open so has mail and too number {i}") for i in range(80)]
