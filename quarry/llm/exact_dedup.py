@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Bucketed, discard, fresh_path, materialize, text_of
+from quarry.llm.common import Bucketed, buckets_for, discard, fresh_path, materialize, text_of
 
 _SCHEMA = "digest binary, n_points int, keep_id bigint, n_rows bigint"
 
@@ -104,7 +104,7 @@ class DigestIndex:
 def in_batches(docs: DataFrame, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What `resolve` gives for all of `docs`, which an index of its own takes in batches (dealt out by hash)."""
     rows = materialize(digests(docs, id_col, text_col), "digests")
-    index = DigestIndex(docs.sparkSession)
+    index = DigestIndex(docs.sparkSession, buckets=buckets_for(rows))
     for i in range(batches):
         index.append(rows.where(F.pmod(F.xxhash64("id", "n_points"), F.lit(batches)) == i))
     out = index.resolve(rows)
