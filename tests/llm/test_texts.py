@@ -426,7 +426,7 @@ def test_neighbours_are_those_of_a_dense_product():
     matrix *= np.log(5001 / (1 + np.arange(len(keys)) % 700 + 0.5)) * toxicity.told(ones, every - ones, int(labels.sum()), int((1 - labels).sum()))
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
     cosines = matrix @ matrix.T
-    vectors = [(t, bank.vector(t, c)) for t, c in toxicity.TermCounts(bank.keys)(texts)]
+    vectors = [bank.vector(t, c) for t, c in toxicity.TermCounts(bank.keys)(texts)]
     for twin in (False, True):
         for low in range(0, 900, 50):
             at = range(low, low + 50)
@@ -436,6 +436,25 @@ def test_neighbours_are_those_of_a_dense_product():
                 assert np.allclose(said[bank.ids[rows]], sims, atol=1e-6)
 
 
+def test_unknown_words_lower_the_cosine():
+    texts = [f"alpha{c} beta{c} gamma common" for c in "abcdefgh"]
+    found = list(toxicity.TermCounts()(texts))
+    row, hashes, n = np.repeat(np.arange(8), [len(h) for h, _ in found]), np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+    bank = toxicity.bank_of(np.arange(8), np.arange(8) % 2, np.arange(8), row, hashes, n, lambda keys: (100, np.full(len(keys), 3)), 3)
+    asked = ["alphaa betaa gamma common", "alphaa betaa gamma common other zoo", "alphaa betaa gamma common " + " ".join(f"zzz{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")]
+    vectors = [bank.vector(t, c) for t, c in toxicity.TermCounts(bank.keys, strangers=True)(asked)]
+    for text, (terms, weights), (_, sims) in zip(asked, vectors, bank.nearest(vectors), strict=True):
+        every, counts = next(iter(toxicity.TermCounts()([text])))
+        at = np.searchsorted(bank.keys, every).clip(max=len(bank.keys) - 1)
+        own = bank.keys[at] == every
+        whole = (1 + np.log(counts)) * np.where(own, bank.weight[at], bank.strange)  # over all terms of the text
+        base = {int(k): w for k, w in zip(found[0][0], (1 + np.log(found[0][1])) * bank.weight[np.searchsorted(bank.keys, found[0][0])], strict=True)}
+        said = sum(w * base.get(int(k), 0) for k, w in zip(every, whole, strict=True)) / np.linalg.norm(whole) / np.linalg.norm(list(base.values()))
+        assert abs(sims[0] - said) < 1e-6 and len(terms) == own.sum() == len(weights)
+    near = [s[0] for _, s in bank.nearest(vectors)]
+    assert abs(near[0] - 1) < 1e-6 and near[0] > near[1] > near[2] > 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the shared tables")
 def test_scores_hold_on_labels_held_out(spark):
     d = "/root/testdata/sf0.01"
