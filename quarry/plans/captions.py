@@ -28,8 +28,6 @@ CONFIRMED_BY = {
 }
 # Labels that never caption, and the confidence below which none does.
 ABSTAIN, SURE = ["none", "misc_controls", "cloth_seats", "dashboard"], 0.55
-# Wheel trim of sticker lists, which searches leave out.
-WHEEL_TRIM = r"(?i)\b(wheel|tire|rim)s?\b"
 
 
 def confirmed(label: Column, features: Column) -> Column:
