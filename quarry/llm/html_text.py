@@ -2,9 +2,11 @@
 
 A streaming pass over the standard library's parser events cuts a page into blocks. Blocks inside
 elements that are something else by their tag or role (navigation, footers, asides, forms ...) or can't be
-seen never count. Blocks inside elements that a class or id calls something else (adverts, notices, comments
-...) weigh less, and go if they are no content at that weight; such a name counts for nothing on headings, inline elements and
-paragraphs of an article, and on an element that holds the article or most of the page's text. Each block is a line with a ratio of text outside
+seen never count. Class, id and heading can call an element something else. Names of comments, adverts, notices and sign-ups remove
+it; so do repeated boxes, each with an author or a date, after the page's first text. Names that may as well be a topic (search,
+related, legal, discussion ...) count for nothing in an article if the element reads like one (text outside links, no repeated boxes), remove it after the page's last
+other text, and else make its blocks weigh less: these must be as dense as the article's own. No name counts on headings, inline elements and
+paragraphs of an article, on an element that holds the article, or on one that holds most of the text, the first of it included. Each block is a line with a ratio of text outside
 links to tags; ratios are smoothed with a Gaussian and lines at or over their standard deviation are
 content. The region that is returned is the element that holds the content: the innermost article
 or main element with most of it, else the innermost element with nearly all of it; in the
@@ -23,7 +25,7 @@ references are decoded; runs of white space in a block become one space and bloc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -45,17 +47,29 @@ UNSEEN = frozenset("head title script style noscript template iframe object svg
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 OTHER = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Words in names of elements that aren't the article; those of comments; those that a topic may have, unless
+#: one of LISTS stands beside them; those of a part of the article; those of an author or a date; headings of comments.
 MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors promo promos promotion "
-    "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup paywall "
-    "sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer "
-    "comment comments commentlist respond disqus reply replies share sharing social related recommended recommendations "
-    "widget widgets toolbar login search copyright legal disclaimer skip".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos "
+    "cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup paywall "
+    "sidebar sidebars nav navbar navigation breadcrumb breadcrumbs pagination pager footer share sharing toolbar copyright".split()
 )
+COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+TOPICS = frozenset(
+    "banner promotion notification notifications overlay menu menus header masthead social related recommended recommendations widget widgets "
+    "login search legal disclaimer skip discussion discussions responses thread feedback".split()
+)
+LISTS = frozenset("posts articles stories links form box bar list icons buttons".split())
+PARTS = frozenset("post entry article story content section title".split())
+SIGNS = frozenset("author user username byline commenter date time timestamp avatar".split())
+SAID_COMMENTS = re.compile(r"(?i)(\d+ )?(reader |user )?(comments?|responses|replies|kommentare?|commentaires?|comentarios?)( \(\d+\))?:?")
+_PLAIN, _TOPIC, _MARK, _COMMENT = range(4)
 #: An element of the first kind ends open ones of the second when it starts.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What a block weighs whose element is called something else.
+#: What a block weighs whose element may be something else.
 WEAK = 0.25
+#: Characters that make a first text of the page, before a marked element and before comments; the share of links beyond which a topic isn't one.
+FIRST, FIRST_WORDS, LINKED = 80, 20, 0.5
 _CONTAINERS = frozenset("table ul ol dl select body html".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -76,7 +90,9 @@ class _Page(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []  # tag, left out, box, number of the unseen element it is or -1
         self.places: dict[str, list[int]] = {}  # where in `open` each tag stands
         self.block_places: list[int] = []
-        self.parents, self.kinds, self.marked = [-1], [""], [False]  # boxes: block elements that hold others
+        self.parents, self.kinds, self.marks = [-1], [""], [_PLAIN]  # boxes: block elements that hold others
+        self.looks: list[tuple[str, str]] = [("", "")]  # tag and class of each box
+        self.signed, self.headed, self.titled = [False], [False], [False]  # whether a box names an author or a date, has a heading, has one of the first level
         self.blocks: list[_Block] = []
         self.left_out = 0
         self.unseen: list[int] = []  # open unseen elements
@@ -102,19 +118,23 @@ class _Page(HTMLParser):
             return True
         return tag == "header" and not self._within_article()
 
-    def _is_marked(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        """Whether a class or id calls the element something else."""
+    def _mark(self, tag: str, names: set[str]) -> int:
+        """What a class or id calls the element."""
         within = self._within_article()
-        if tag not in BLOCK or tag in HEADING or (tag == "p" and within):
-            return False
-        marks = {w.lower() for name in ("class", "id") for w in _WORD.findall(attrs.get(name) or "")} & MARKS
-        if tag in ("html", "body", "main"):
-            return False
-        if tag in ("article", "header", "hgroup", "h1") or within:
-            marks -= {"header", "banner", "masthead"}
+        if tag not in BLOCK or tag in HEADING or (tag == "p" and within) or tag in ("html", "body", "main"):
+            return _PLAIN
+        if names & COMMENTS:
+            return _COMMENT
         if tag == "article":
-            marks &= {"comment", "comments", "reply"}
-        return bool(marks)
+            return _PLAIN
+        if names & MARKS:
+            return _MARK
+        topics = names & TOPICS
+        if tag in ("header", "hgroup") or within or names & PARTS:
+            topics -= {"header", "banner", "masthead"}
+        if not topics:
+            return _PLAIN
+        return _MARK if names & LISTS else _TOPIC
 
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
@@ -122,7 +142,10 @@ class _Page(HTMLParser):
             box = self.open[-1][2] if self.open else 0
             if self.unseen:
                 self.within.append((len(self.blocks), self.unseen[-1]))
-            self.blocks.append(_Block(text, self.tags, min(self.linked, len(text)), box, any(x[0] in HEADING for x in self.open[-3:])))
+            heading = any(x[0] in HEADING for x in self.open[-3:])
+            self.headed[box] |= heading
+            self.titled[box] |= any(x[0] == "h1" for x in self.open[-3:])
+            self.blocks.append(_Block(text, self.tags, min(self.linked, len(text)), box, heading))
         self.pieces, self.tags, self.linked = [], 0, 0
 
     def _close(self, at: int, own: bool = False) -> None:
@@ -159,12 +182,18 @@ class _Page(HTMLParser):
         attributes = dict(attrs)
         other = self._is_other(tag, attributes)
         box = self.open[-1][2] if self.open else 0
-        marked = self._is_marked(tag, attributes)
-        if tag in BLOCK and tag not in HEADING and (tag != "p" or marked):
+        names = {w.lower() for name in ("class", "id") for w in _WORD.findall(attributes.get(name) or "")}
+        mark = self._mark(tag, names)
+        self.signed[box] |= tag in ("time", "cite") or bool(names & SIGNS)
+        if tag in BLOCK and tag not in HEADING and (tag != "p" or mark):
             is_main = tag in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
             self.parents.append(box)
             self.kinds.append("main" if is_main else tag)
-            self.marked.append(marked)
+            self.marks.append(mark)
+            self.looks.append((tag, attributes.get("class") or ""))
+            self.signed.append(False)
+            self.headed.append(False)
+            self.titled.append(False)
             box = len(self.parents) - 1
         number = -1
         if tag in UNSEEN:
@@ -225,41 +254,127 @@ def _smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(ratios, kernel, "full")[reach : reach + len(ratios)] / whole
 
 
+def _totals(page: _Page, values: Iterable[float]) -> np.ndarray:
+    """For each box the sum of its blocks' values."""
+    out = np.zeros(len(page.parents))
+    for b, value in zip(page.blocks, values, strict=True):
+        out[b.box] += value
+    for box in range(len(out) - 1, 0, -1):  # a box comes after those around it
+        out[page.parents[box]] += out[box]
+    return out
+
+
+def _firsts(page: _Page) -> list[int]:
+    """For each box its first block, or the number of blocks."""
+    first = [len(page.blocks)] * len(page.parents)
+    for i in range(len(page.blocks) - 1, -1, -1):
+        first[page.blocks[i].box] = i
+    for box in range(len(first) - 1, 0, -1):
+        first[page.parents[box]] = min(first[page.parents[box]], first[box])
+    return first
+
+
+def _repeated(page: _Page, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes that have a sibling of the same look, both with text and without headings; and those of them of which each names an author or a date."""
+    signed, headed = list(page.signed), list(page.headed)
+    for box in range(len(signed) - 1, 0, -1):
+        signed[page.parents[box]] |= signed[box]
+        headed[page.parents[box]] |= headed[box]
+    alike: dict[tuple, list[int]] = {}
+    for box in range(1, len(dense)):
+        if dense[box] and page.kinds[box] != "main":
+            alike.setdefault((page.parents[box], page.looks[box]), []).append(box)
+    repeated, all_signed = np.zeros(len(dense), bool), np.zeros(len(dense), bool)
+    for boxes in alike.values():
+        if len(boxes) > 1 and not any(headed[b] for b in boxes):
+            repeated[boxes] = True
+            all_signed[boxes] = all(signed[b] for b in boxes)
+    return repeated, all_signed
+
+
+def _titled_mains(page: _Page) -> list[bool] | None:
+    """For each box whether it holds an article (or the like) with a first heading; None if the page has none."""
+    titled, held = list(page.titled), [False] * len(page.parents)
+    for box in range(len(titled) - 1, 0, -1):
+        titled[page.parents[box]] |= titled[box]
+        held[box] |= titled[box] and page.kinds[box] == "main" and page.marks[box] == _PLAIN
+        held[page.parents[box]] |= held[box]
+    return held if held[0] else None
+
+
 def _weights(page: _Page) -> np.ndarray:
-    """What each block weighs: WEAK inside a marked element, unless that holds the article or most of the text."""
-    dense = np.zeros(len(page.parents))
-    for b in page.blocks:
-        dense[b.box] += len(b.text) - b.linked
-    for box in range(len(dense) - 1, 0, -1):  # a box comes after those around it
-        dense[page.parents[box]] += dense[box]
-    mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and not page.marked[i] and dense[i] >= 0.3 * dense[0] and dense[i]]
+    """What each block weighs: 1, WEAK, or 0 in an element that isn't of the article."""
+    lengths = [len(b.text) - b.linked for b in page.blocks]
+    dense, whole, firsts = _totals(page, lengths), _totals(page, [len(b.text) for b in page.blocks]), _firsts(page)
+    repeated, signed = _repeated(page, dense)
+    mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and page.marks[i] == _PLAIN and dense[i] >= 0.3 * dense[0] and dense[i]]
     around: set[int] = set()
     for i in mains:
         up = page.parents[i]
         while up >= 0 and up not in around:
             around.add(up)
             up = page.parents[up]
-    weights = np.ones(len(dense))
+    titled = _titled_mains(page)
+    is_main = np.zeros(len(dense), bool)
+    is_main[mains] = True
+    lists = np.zeros(len(dense), int)  # repeated boxes in each box
+    for box in range(len(dense) - 1, 0, -1):
+        lists[page.parents[box]] += repeated[box] + lists[box]
+    scopes, weights, since = np.zeros(len(dense), int), np.ones(len(dense)), np.zeros(len(dense))
+    said, counted = 0, 0  # text so far that counts, and blocks looked at
     for box in range(1, len(dense)):
-        weak = page.marked[box] and box not in around and (bool(mains) or dense[box] <= 0.5 * dense[0])
-        weights[box] = WEAK if weak else weights[page.parents[box]]
-    return weights[[b.box for b in page.blocks]]
+        parent = page.parents[box]
+        scope = scopes[box] = box if is_main[box] else scopes[parent]
+        weights[box] = weights[parent]
+        while counted < firsts[box] and firsts[box] < len(page.blocks):
+            b = page.blocks[counted]
+            said += lengths[counted] if weights[b.box] and not b.heading else 0
+            counted += 1
+        if is_main[box]:
+            since[box] = said
+        mark = page.marks[box]
+        if firsts[box] < len(page.blocks):
+            b = page.blocks[firsts[box]]
+            if not is_main[box] and b.heading and SAID_COMMENTS.fullmatch(b.text) and dense[box] > len(b.text):
+                mark = _COMMENT
+        if mark < _COMMENT and signed[box]:
+            mark = _COMMENT if said - since[scope] >= FIRST else mark
+        if mark == _PLAIN or not weights[box] or box in around:
+            continue
+        begun = said - since[scope] >= (FIRST_WORDS if mark == _COMMENT else FIRST)
+        if not begun and dense[box] >= 0.5 * dense[scope] and (scope or titled is None or titled[box]):
+            continue  # holds the page's first text and most of it
+        if mark == _TOPIC:
+            if lists[box] > 1 and begun and page.looks[box][0] not in ("ul", "ol", "dl", "table"):
+                weights[box] = 0
+            elif not scope or dense[box] < (1 - LINKED) * whole[box] or dense[box] < FIRST:
+                weights[box] = min(weights[box], WEAK)
+        else:
+            weights[box] = 0
+    of_blocks = weights[[b.box for b in page.blocks]]
+    if not mains:  # what may be something else, after the last text that isn't, goes unless it has a heading
+        plain = [i for i, w in enumerate(of_blocks) if w == 1 and lengths[i] >= FIRST_WORDS]
+        for i in range(plain[-1] + 1, len(page.blocks)) if plain else ():
+            if of_blocks[i] == WEAK and not page.headed[page.blocks[i].box]:
+                of_blocks[i] = 0
+    return of_blocks
 
 
 def _region(page: _Page) -> list[_Block]:
-    blocks, weights = page.blocks, _weights(page)
+    weights = _weights(page)
+    page.blocks = blocks = [b for b, w in zip(page.blocks, weights, strict=True) if w]
+    weights = weights[weights > 0]
+    if not blocks:
+        return []
     own = weights * np.array([(len(b.text) - b.linked) / (b.tags + 1) for b in blocks])
     ratios = _smoothed(own)
     least = min(float(ratios.std()), float(ratios.max()))
     # A neighbour's text doesn't make content of a block that weighs less.
-    content = (ratios >= least) & ((weights == 1) | (own >= least))
+    plain = own[(weights == 1) & (ratios >= least)]
+    content = (ratios >= least) & ((weights == 1) | (own >= max(least, WEAK * float(np.median(plain)) if len(plain) else 0.0)))
     if not content.any():
         content = ratios >= least
-    held = np.zeros(len(page.parents))
-    for b, is_content, weight in zip(blocks, content, weights, strict=True):
-        held[b.box] += is_content * weight * len(b.text)
-    for box in range(len(held) - 1, 0, -1):  # a box comes after those around it
-        held[page.parents[box]] += held[box]
+    held = _totals(page, [is_content * weight * len(b.text) for b, is_content, weight in zip(blocks, content, weights, strict=True)])
     mains = [i for i, kind in enumerate(page.kinds) if kind == "main" and held[i] >= 0.3 * held[0] and held[i]]
     best = -1
     in_best = np.zeros(len(held), bool)  # boxes inside the best so far, up to the one looked at
@@ -327,7 +442,7 @@ def _dense(page: _Page) -> int:
 
 def _all_marked(page: _Page) -> bool:
     """Whether all blocks stand in marked elements."""
-    marked = list(page.marked)
+    marked = [mark > _PLAIN for mark in page.marks]
     for box in range(1, len(marked)):
         marked[box] = marked[box] or marked[page.parents[box]]
     return all(marked[b.box] for b in page.blocks)

@@ -335,6 +335,49 @@ def test_names_alone_do_not_remove_text(html, said):
     assert html_text.main_text(html.format(_FIRST, _SECOND)) == said.format(_FIRST, _SECOND)
 
 
+_EVEN = [f"A sentence of even length about the harbour and its boats, told once more in full words {i}." for i in range(7)]
+_ARTICLE, _SAID = "".join(f"<p>{t}</p>" for t in _EVEN[:6]), "\n".join(_EVEN[:6])
+_REMARK = "I read this and have much to say about it, at length. " * 8
+
+
+def _remarks(look="", signs=""):
+    return "".join(f"<div{look}>{signs}<p>{_REMARK}{i}</p></div>" for i in range(8))
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div id='main'>{}</div>", "<div class='post has-comments'>{}</div>"])
+@pytest.mark.parametrize("name", ["cookie-notice", "advert", "newsletter-signup", "ad", "comments", "related-posts", "sponsored"])
+def test_marked_boxes_go_on_even_pages(around, name):
+    assert html_text.main_text("<body>" + around.format(f"{_ARTICLE}<div class='{name}'><p>{_EVEN[6]}</p></div>") + "</body>") == _SAID
+
+
+@pytest.mark.parametrize(
+    "remarks",
+    [
+        f"<section id='comments'>{_remarks(' class=comment')}</section>",
+        f"<section id='comments'>{_remarks()}</section>",
+        f"<section><h2>8 Comments</h2>{_remarks()}</section>",
+        f"<div class='x'>{_remarks(' class=c', '<span class=author>Jo</span><time>May 4</time>')}</div>",
+        f"<div class='discussion'>{_remarks(' class=c')}</div>",
+        f"<div class='discussion'><p>{_REMARK}</p><p>{_REMARK}</p></div>",
+    ],
+)
+def test_comments_go_however_long(remarks):
+    assert html_text.main_text(f"<body><div class='post'><p>{_EVEN[0]}</p><p>{_EVEN[1]}</p></div>{remarks}</body>") == "\n".join(_EVEN[:2])
+
+
+@pytest.mark.parametrize("look", ["id='search'", "class='related-work'", "id='legal'", "class='discussion'"])
+@pytest.mark.parametrize("heading", ["", "<h2>Head</h2>"])
+def test_sections_of_an_article_stay_whatever_their_name(look, heading):
+    got = html_text.main_text(f"<body><article>{_ARTICLE}<section {look}>{heading}<p>{_EVEN[6]}</p></section></article></body>")
+    assert got == _SAID + ("\nHead" if heading else "") + f"\n{_EVEN[6]}"
+
+
+def test_an_advert_is_no_text_of_a_page_whose_article_is_a_title():
+    assert html_text.main_text("<body><div class='ad'>Buy this fine thing of ours today.</div><article><h1>Title</h1></article></body>") == "Title"
+    widgets = "".join(f"<div class='elementor-widget-text'><p>{t}</p></div>" for t in _EVEN[:6])
+    assert html_text.main_text(f"<body><div>{widgets}</div></body>") == _SAID
+
+
 @pytest.mark.parametrize(
     "html",
     [
