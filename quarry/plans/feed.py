@@ -34,10 +34,12 @@ FEED = {
 
 
 def full_feed(records: DataFrame) -> DataFrame:
-    """Vehicle records (as pages give them, with delisted_at) in the feed's own columns, ready for `write_feed`."""
+    """Vehicle records (as pages give them, with delisted_at) in the feed's own columns, ready for `write_feed`. The id is the VIN,
+    else the stock number, else the name of the record's folder (where records have one); a missing title is year, make and model."""
     live = records.where(F.col("delisted_at").isNull() & (F.size("photo_urls") > 0) & (numbers.bare_price(F.col("display_price")) != "0"))
     made = {
-        "vehicle_id": F.coalesce(text.empty_to_null(F.col("vin")), F.col("stock_number")), "description": F.substring("dealer_description", 1, DESCRIPTION), "mileage.unit": F.lit("MI"), "price": numbers.bare_price(F.col("display_price")),
+        "vehicle_id": F.coalesce(*(text.empty_to_null(F.col(c)) for c in ("vin", "stock_number", "folder") if c in records.columns)),
+        "title": F.coalesce(text.empty_to_null(F.col("title")), F.trim(F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit("")) if c != " " else F.lit(c) for c in ("year", " ", "make", " ", "model"))))), "description": F.substring("dealer_description", 1, DESCRIPTION), "mileage.unit": F.lit("MI"), "price": numbers.bare_price(F.col("display_price")),
         "currency": F.lit("USD"), "state_of_vehicle": condition_state(F.col("condition")), "availability": F.lit("in stock"), "exterior_color": F.coalesce(text.empty_to_null(F.col("exterior_color_generic")), F.col("exterior_color_factory")),
     }
     columns = [F.coalesce(made[c] if c in made else F.col(field).cast("string"), F.lit("")).alias(c) for c, field in FEED.items()]
@@ -80,6 +82,21 @@ def q_feed_rows(spark: SparkSession, d: str) -> DataFrame:
     return feed_rows(vehicles(spark, d))
 
 
+def q_feed_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as records, some without a VIN, a stock number or a title, in the feed's own columns."""
+    key = F.col("id").cast("string")
+    made = {
+        "vin": F.when(F.col("id") % 5 != 0, F.concat(F.lit("V"), key)).otherwise(""), "stock_number": F.when(F.col("id") % 10 == 0, F.concat(F.lit("S"), key)), "folder": F.concat(F.lit("lot-"), key),
+        "title": F.when(F.col("id") % 4 != 0, F.col("title")), "year": F.when(F.col("p_size") % 2 == 0, F.lit(2024)), "make": F.col("p_brand"), "model": F.when(F.col("p_size") % 3 == 0, F.col("p_name")),
+        "condition": F.col("condition"), "display_price": F.col("display_price"), "dealer_description": F.col("description"), "photo_urls": F.col("photos"), "delisted_at": F.col("delisted_at"),
+        "exterior_color_generic": F.when(F.col("p_size") % 2 == 0, "Red").otherwise(""), "exterior_color_factory": F.col("p_type"), "mileage": F.col("p_size"),
+    }
+    rest = {field: F.lit(None).cast("string") for field in FEED.values() if field and field not in made}
+    rows = full_feed(vehicles(spark, d).select(*(c.alias(n) for n, c in (made | rest).items())))
+    shown = {c: c.replace(".", "_").replace("[", "_").replace("]", "") for c in rows.columns}
+    return rows.select(*(F.col(f"`{c}`").alias(n) for c, n in shown.items() if not n.startswith("image") or n in ("image_0_url", "image_19_url")))
+
+
 def q_money_parse(spark: SparkSession, d: str) -> DataFrame:
     shown = F.concat(F.when(F.col("p_partkey") % 3 == 0, "+").otherwise(""), F.lit("$"), F.format_number("p_retailprice", 1))
     shown = F.when(F.col("p_partkey") % 7 == 0, "Call us").otherwise(shown)
@@ -187,6 +204,14 @@ ORACLES = {
         SELECT id, title, CASE lower(condition) WHEN 'new' THEN 'new' ELSE 'used' END AS state,
             round_even(round(price, 2), 0)::BIGINT::VARCHAR AS price, left(description, 2000) AS description, {', '.join(f"photos[{i}] AS image_{i}" for i in range(1, 21))}
         FROM vehicles WHERE delisted_at IS NULL AND priced AND price <> 0 AND len(photos) > 0""",
+    "feed_columns": f"""WITH {_SQL_VEHICLES}
+        SELECT CASE WHEN id % 5 <> 0 THEN 'V' || id WHEN id % 10 = 0 THEN 'S' || id ELSE 'lot-' || id END AS vehicle_id,
+            CASE WHEN id % 4 <> 0 THEN title ELSE trim(CASE WHEN p_size % 2 = 0 THEN '2024' ELSE '' END || ' ' || p_brand || ' ' || CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END) END AS title,
+            left(description, 2000) AS description, '' AS url, p_brand AS make, CASE WHEN p_size % 3 = 0 THEN p_name ELSE '' END AS model, CASE WHEN p_size % 2 = 0 THEN '2024' ELSE '' END AS year, '' AS trim,
+            CASE WHEN id % 5 <> 0 THEN 'V' || id ELSE '' END AS vin, '' AS body_style, p_size::VARCHAR AS mileage_value, 'MI' AS mileage_unit, round_even(round(price, 2), 0)::BIGINT::VARCHAR AS price, 'USD' AS currency,
+            CASE lower(condition) WHEN 'new' THEN 'new' ELSE 'used' END AS state_of_vehicle, 'in stock' AS availability, CASE WHEN p_size % 2 = 0 THEN 'Red' ELSE p_type END AS exterior_color, '' AS interior_color,
+            '' AS transmission, '' AS drivetrain, '' AS fuel_type, '' AS address, '' AS dealer_name, '' AS dealer_phone, coalesce(photos[1], '') AS image_0_url, coalesce(photos[20], '') AS image_19_url
+        FROM vehicles JOIN part ON id = p_partkey WHERE delisted_at IS NULL AND priced AND price <> 0 AND len(photos) > 0""",
     "money_parse": "SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN round_even(round(p_retailprice, 1), 0)::BIGINT::VARCHAR END AS price FROM part",
     "display_price": f"""WITH {_SQL_VEHICLES}
         SELECT id, CASE WHEN p_size < 17 THEN CASE WHEN p_size % 2 = 0 THEN 'S' ELSE '$' END || p_size ELSE title END AS shown FROM vehicles JOIN part ON id = p_partkey""",

@@ -199,11 +199,23 @@ def _sections() -> list[Column]:
     return out
 
 
+def _has_sticker() -> Column:
+    """Any part of it was read; an empty object is none."""
+    return F.coalesce(*(F.when(F.col(f"sticker.{part}").isNotNull(), True) for part in ("pricing", "equipment", "optional_equipment", "warranties")), F.lit(False))
+
+
+def _quoted(c: Column) -> Column:
+    """In single quotes; in double ones if it has single ones alone."""
+    escaped, single, double = F.replace(c, F.lit("\\"), F.lit("\\\\")), c.contains("'"), c.contains('"')
+    within_single = F.replace(escaped, F.lit("'"), F.lit("\\'"))
+    return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(F.concat(F.lit("'"), within_single, F.lit("'")))
+
+
 def more_link() -> Column:
     """Of the maker, where its sticker was read."""
     make = F.lower(F.trim("make"))
     link = F.coalesce(*(F.when(make == m, F.replace(F.lit(form), F.lit("{vin}"), _given("vin"))) for m, form in STICKER_LINKS.items()))
-    return F.when(F.col("sticker").isNotNull(), link)
+    return F.when(_has_sticker(), link)
 
 
 def _is_held_back() -> Column:
@@ -230,7 +242,7 @@ def price_issues() -> Column:
     shown, last = _amount(F.regexp_replace("display_price", r"^\++", "")), F.element_at("pricing_rows", -1)
     listed = _amount(F.regexp_replace(last["text"], r"^\++", ""))
     differs = F.concat(
-        F.lit("Pricing mismatch: display_price ("), _whole(F.bround(shown)), F.lit(") doesn't match the last pricing_rows entry '"), last["label"], F.lit("' ("), _whole(F.bround(listed)), F.lit(").")
+        F.lit("Pricing mismatch: display_price ("), _whole(F.bround(shown)), F.lit(") doesn't match the last pricing_rows entry "), _quoted(last["label"]), F.lit(" ("), _whole(F.bround(listed)), F.lit(").")
     )
     msrp, now = _amount(_msrp()), _amount(shown_price())
     low = F.concat(
@@ -276,7 +288,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
         "engine": F.when(F.col("p_size") % 5 > 0, F.col("p_type")),
         "display_price": F.when(F.col("p_partkey") % 10 != 3, F.concat(F.lit("$"), F.format_number("p_retailprice", 2))),
         "carfax_one_owner": F.col("p_size") % 7 == 0,
-        "sticker": F.from_json(F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"pricing": {"total_msrp": "'), (F.col("p_size") * 50).cast("string"), F.lit('"}, "warranties": ["3 years"]}'))), _sticker_type()),
+        "sticker": F.from_json(F.when(F.col("p_partkey") % 4 == 2, "{}").when(F.col("p_partkey") % 4 == 0, F.concat(F.lit('{"pricing": {"total_msrp": "'), (F.col("p_size") * 50).cast("string"), F.lit('"}, "warranties": ["3 years"]}'))), _sticker_type()),
     }
     fields = [c.strip() for c in _split_fields(RECORD)]
     columns = [made.get(f.split(" ")[0], F.lit(None)).cast(f.split(" ", 1)[1]).alias(f.split(" ")[0]) for f in fields]

@@ -22,7 +22,7 @@ def values(spark, column, rows):
         (text.city_state, {"1 Main St, Springfield, IL 62701": "Springfield, IL", "Springfield, IL": "Springfield, IL", "Springfield": "Springfield"}),
         (text.tidy_text, {"a<br/>b <b>c</b> &amp;  d": "a\nb c & d", "&lt;b&gt;": "<b>", "x\n\n\n\ny": "x\n\ny", " ": None, None: None}),
         (text.title_case, {"2ND ROW AM/FM-LED": "2Nd Row Am/Fm-Led"}),
-        (text.slug, {"Café  au_lait!": "Cafe-au-lait", "": "vehicle", "x" * 90: "x" * 80}),
+        (text.slug, {"Café  au_lait!": "Cafe-au-lait", "": "vehicle", "x" * 90: "x" * 80, None: None, "\u00e9\u00fc \ufb01n": "eu-fin", " _a - b__c_ ": "a---b-c", "\u4e2d\u6587": "vehicle", "--a\x1cb--": "a-b"}),
         (text.image_url_upsized, {"http://a/640x480/b/10x10/": "http://a/2048x2048/b/2048x2048/"}),
         (numbers.bare_price, {"$25,382": "25382", "+2.5": "2", "3.5": "4", "Call": None, "": None}),
         (numbers.truthy, {"0": False, "0.0": False, "1": True, "x": True, "": False, "NaN": True}),
