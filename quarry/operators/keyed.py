@@ -51,6 +51,15 @@ def guarded(df: DataFrame, missing: Column, bucket: Sequence[str], most: float =
     return out.withColumn("refused", refused).withColumn("flagged", missing & ~F.col("refused"))
 
 
+def guarded_whole(records: DataFrame, live: DataFrame, key: str, stamp: str = "delisted_at", most: float = 0.3, confirmed: bool = False) -> DataFrame:
+    """`guarded` over all records that have a key, without buckets: missing are those whose key isn't live, and rows that carry a
+    stamp already count among them. Flagged are the missing ones without a stamp, unless refused; `confirmed` overrules that."""
+    seen = live.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_live", F.lit(True))
+    keyed = records.where(F.col(key).isNotNull()).join(seen, key, "left")
+    out = guarded(keyed, F.col("_live").isNull(), [], 1.0 if confirmed else most)
+    return out.withColumn("flagged", F.col("flagged") & F.col(stamp).isNull()).drop("_live")
+
+
 def known_or_new(live: DataFrame, manifest: DataFrame, key: str, valid: Column) -> DataFrame:
     """Live rows with `known`: in the manifest with an entry that holds."""
     held = manifest.where(valid).select(key).distinct().withColumn("known", F.lit(True))

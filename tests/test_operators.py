@@ -77,3 +77,13 @@ def test_sources_and_sinks(spark, tmp_path):
     tables.write_feed(spark.createDataFrame([(1, None)], "id int, title string").withColumn("image[0].url", F.lit("u")).coalesce(1), str(tmp_path / "feed"), ["id", "title", "image[0].url"], "\t")
     text = "".join(p.read_text() for p in (tmp_path / "feed").glob("part-*"))
     assert text == "id\ttitle\timage[0].url\n1\t\tu\n"
+
+
+def test_whole_guard_counts_stamped_rows_and_skips_rows_without_a_key(spark):
+    records = spark.createDataFrame([(f"k{i}", "old" if i == 0 else None) for i in range(10)] + [(None, None)], "vin string, delisted_at string")
+    live = lambda n: spark.createDataFrame([(f"k{i}",) for i in range(n, 10)] + [("k9",), (None,)], "vin string")
+    got = keyed.guarded_whole(records, live(3), "vin").collect()
+    assert len(got) == 10 and {r.vin for r in got if r.flagged} == {"k1", "k2"} and (got[0].missing_n, got[0].active_n) == (3, 10)
+    assert not any(r.flagged for r in keyed.guarded_whole(records, live(4), "vin").collect())
+    assert sum(r.flagged for r in keyed.guarded_whole(records, live(4), "vin", confirmed=True).collect()) == 3
+    assert keyed.guarded_whole(records.limit(0), live(3), "vin").collect() == []
