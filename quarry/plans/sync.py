@@ -35,7 +35,7 @@ def q_mass_delist_guard(spark: SparkSession, d: str) -> DataFrame:
 def q_whole_delist_guard(spark: SparkSession, d: str) -> DataFrame:
     """Parts against those shipped within some days: a narrow crawl is refused, a wide one isn't. Parts of size 1 are delisted already."""
     records = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") == 1, "2020-01-01").alias("delisted_at"))
-    runs = [keyed.guarded_whole(records, _recent_parts(spark, d, days), "p_partkey").withColumn("days", F.lit(days)) for days in (10, 900)]
+    runs = [keyed.guarded_whole(records, _recent_parts(spark, d, days), "p_partkey").withColumn("days", F.lit(days)) for days in (10, 200)]
     counts = [F.max("missing_n").alias("missing"), F.max("active_n").alias("active"), F.bool_or("refused").alias("refused"), F.count_if("flagged").alias("flagged")]
     return runs[0].unionByName(runs[1]).groupBy("days").agg(*counts)
 
@@ -176,8 +176,8 @@ ORACLES = {
         SELECT p_type, missing, active, missing / active > 0.3 AS refused, CASE WHEN missing / active > 0.3 THEN 0 ELSE missing END AS flagged FROM c""",
     "whole_delist_guard": """WITH last AS (SELECT max(l_shipdate) AS last FROM lineitem), runs AS (
             SELECT days, p_partkey NOT IN (SELECT l_partkey FROM lineitem, last WHERE l_shipdate >= last - INTERVAL 10 DAY) AS narrow,
-                p_partkey NOT IN (SELECT l_partkey FROM lineitem, last WHERE l_shipdate >= last - INTERVAL 900 DAY) AS wide, p_size = 1 AS stamped
-            FROM part, (VALUES (10), (900)) AS v(days)),
+                p_partkey NOT IN (SELECT l_partkey FROM lineitem, last WHERE l_shipdate >= last - INTERVAL 200 DAY) AS wide, p_size = 1 AS stamped
+            FROM part, (VALUES (10), (200)) AS v(days)),
         c AS (SELECT days, count(*) FILTER (CASE days WHEN 10 THEN narrow ELSE wide END) AS missing, count(*) AS active, count(*) FILTER (CASE days WHEN 10 THEN narrow ELSE wide END AND NOT stamped) AS fresh FROM runs GROUP BY 1)
         SELECT days, missing, active, missing / active > 0.3 AS refused, CASE WHEN missing / active > 0.3 THEN 0 ELSE fresh END AS flagged FROM c""",
     "skip_known": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY) AS known FROM customer",
