@@ -1,9 +1,10 @@
 """Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-Learning: on a bounded sample (SAMPLE vectors, those with the smallest hashes of their ids) several
-rotations of each length are learned that make the signs of the rotated, centred vectors balanced binary codes of
-small quantisation error (ITQ: alternate between the codes and the orthogonal Procrustes rotation).
-Index: every vector's codes are cut into substrings, one Hamming table each; two vectors meet if a
+Learning: on a bounded sample (of each of the LEARNED commonest lengths, at most SAMPLE vectors in all, chosen by
+hashes of their ids) rotations are learned that make the signs of the rotated vectors balanced binary codes of
+small quantisation error (ITQ: alternate between the codes and the orthogonal Procrustes rotation). Other lengths take
+planes at random, made from their length alone.
+Index: every vector's code is cut into substrings, one Hamming table each; two vectors meet if a
 substring is the same. Rerank: vectors that meet are compared by cosine of the original vectors in
 double precision, in blocks by matrix product.
 
@@ -14,9 +15,10 @@ to fit a task. A pair counts in the first table where it meets alone, so counts
 give the number of links of each class and a spanning forest of the links, never the pairs themselves.
 
 Recall: the length of a substring grows with the logarithm of the number of vectors, so that buckets don't fill by chance,
-and the number of tables with it, so that a pair at the threshold misses all with a probability of at most MISS, and
-nearer ones with less (measured by tests/llm/recall.py). Each length of vectors that the sample has FEW times or more has rotations of
-its own; vectors of rarer lengths are compared with all of their label and length, in cells too.
+and the number of tables with it, so that a pair at the threshold misses all with a probability of about MISS, and
+nearer ones with less (measured by tests/llm/recall.py). Vectors are centred, which widens the angles between those near the
+mean: the tables are as many as the wider angle asks for, and where it would be over twice as wide vectors stay as they are.
+Lengths of which no label has more than FEW vectors are compared whole.
 
 Defined results: null or zero vectors, and vectors that hold null or non-finite components, link with
 nothing, as do vectors with a null label; vectors of different lengths aren't compared; rows
@@ -36,54 +38,61 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, materialize
 from quarry.llm.components import components
 
-#: Bound of the sample that rotations are learned on.
-SAMPLE = 20_000
+#: Bound of the sample that rotations are learned on, in vectors and in components, and of the lengths that have learned ones.
+SAMPLE, COMPONENTS, LEARNED = 20_000, 4_000_000, 16
+#: Shortest and longest vectors that rotations are learned for: in few dimensions learned ones are too alike to miss apart.
+SHORTEST, LONGEST = 16, 1024
 STEPS, CELL = 40, 512
 #: Least bits of a substring, vectors of a label for which a bucket may have one by chance, and what a pair may miss all tables with.
 BITS, COMPANY, MISS = 16, 32, 2e-3
-#: Vectors of a length that the sample must have for rotations; rarer lengths are compared whole.
+#: Vectors of a label that a length may have at most to be compared whole.
 FEW = 32
 _MET = "a long, b long, n long"
 _MET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def shape(n: int, dim: int, threshold: float) -> tuple[int, int]:
-    """Bits of a substring and number of rotations for n vectors: chance company in a bucket stays about the same
-    whatever n is, and a pair at the threshold misses all tables with a probability of at most MISS."""
-    bits = min(dim, max(BITS, int(np.ceil(np.log2(max(n, 1) / COMPANY)))), 62)
-    same = (1 - np.arccos(min(threshold, 1.0)) / np.pi) ** bits
-    tables = np.log(MISS) / np.log1p(-same) if same < 1 else 1
-    return bits, max(1, int(np.ceil(tables / (dim // bits))))
+def shape(n: int, angle: float) -> tuple[int, int]:
+    """Bits of a substring and number of tables for n vectors: chance company in a bucket stays about the same
+    whatever n is, and a pair at that angle misses all tables with a probability of at most MISS."""
+    bits = min(max(BITS, int(np.ceil(np.log2(max(n, 1) / COMPANY)))), 62)
+    same = (1 - angle / np.pi) ** bits
+    return bits, int(np.ceil(np.log(MISS) / np.log1p(-same))) if same < 1 else 1
 
 
-class Rotations:
-    """Learned projections of vectors of one length to bits; a few matrices of the dimension's size."""
+class Planes:
+    """Projections of vectors of one length to bits. Without a sample they are at random, else learned: matrices of the dimension's size."""
 
-    def __init__(self, sample: np.ndarray, bits: int, rotations: int, seed: int = 11):
+    def __init__(self, dim: int, n: int, threshold: float, sample: np.ndarray | None = None):
+        angle, rng = float(np.arccos(min(threshold, 1.0))), np.random.default_rng(dim)
+        self.mean = np.zeros(dim)
+        if sample is None:
+            self.bits, self.tables = shape(n, angle)
+            self.planes = rng.standard_normal((dim, self.bits * self.tables))
+            return
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.dim, self.bits = sample.shape[1], bits
-        self.mean = unit.mean(0)
-        centred = unit - self.mean
-        axes = np.linalg.svd(centred.T @ centred)[0]
-        rng, self.planes = np.random.default_rng(seed), []
-        projected = centred @ axes
-        for _ in range(rotations):
-            turn = np.linalg.qr(rng.standard_normal((self.dim, self.dim)))[0]
+        away = unit - unit.mean(0)
+        near = np.quantile(np.linalg.norm(away, axis=1), 0.05)
+        wide = 2 * np.arcsin(min(1.0, np.sin(angle / 2) / max(near, 1e-9)))
+        if wide <= 2 * angle:
+            unit, self.mean, angle = away, unit.mean(0), wide
+        self.bits, self.tables = shape(n, angle)
+        axes = np.linalg.svd(unit.T @ unit)[0]
+        projected, planes = unit @ axes, []
+        for _ in range(-(-self.bits * self.tables // dim)):
+            turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
             for _ in range(STEPS):
                 codes = np.where(projected @ turn >= 0, 1.0, -1.0)
                 u, _, v = np.linalg.svd(codes.T @ projected)
                 turn = (u @ v).T
-            self.planes.append(axes @ turn)
+            planes.append(axes @ turn)
+        self.planes = np.hstack(planes)[:, : self.bits * self.tables]
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         """The substrings of all codes: a row per vector, a column per table."""
-        centred = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.mean
-        each = self.dim // self.bits
-        out = np.zeros((len(vectors), len(self.planes) * each), np.int64)
-        for r, plane in enumerate(self.planes):
-            bits = centred @ plane >= 0
-            for i in range(each * self.bits):
-                out[:, r * each + i // self.bits] |= bits[:, i].astype(np.int64) << (i % self.bits)
+        bits = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - self.mean) @ self.planes >= 0
+        out = np.zeros((len(vectors), self.tables), np.int64)
+        for i in range(self.bits):
+            out |= bits[:, i :: self.bits].astype(np.int64) << i
         return out
 
 
@@ -91,30 +100,46 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
 
 
-def _learn(classes: DataFrame, sample_size: int, threshold: float) -> dict[int, Rotations]:
-    """For each length that the sample (bounded by sample_size vectors) has often enough, its rotations."""
-    rows = classes.select("vector").orderBy(F.xxhash64("vec_id", "digest"), "digest").limit(sample_size).toArrow().column(0).to_pylist()
-    if not rows:
-        return {}
-    n = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    by_length: dict[int, list] = {}
-    for r in rows:
-        by_length.setdefault(len(r), []).append(r)
-    return {dim: Rotations(np.array(own, np.float64), *shape(n, dim, threshold)) for dim, own in by_length.items() if len(own) >= FEW}
-
-
-def _tables(rotations: dict[int, Rotations]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of all vectors. Those of a rare length have one key, the same for all: they are compared with each other."""
+def _learn(classes: DataFrame, sample_size: int, threshold: float) -> tuple[dict[int, Planes], dict[int, int]]:
+    """Learned planes of the commonest lengths, and of the other ones with more than FEW vectors of a label their largest number in a label."""
+    dim = F.size("vector")
+    counts = classes.groupBy("label", dim.alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+    found = counts.where(F.col("most") > FEW).orderBy(F.desc("n"), "dim").collect()
+    able = [r for r in found if SHORTEST <= r.dim <= LONGEST][:LEARNED]
+    takes = {r.dim: min(sample_size // len(able), COMPONENTS // len(able) // r.dim) for r in able}
+    learned: dict[int, Planes] = {}
+    if able:
+        share = F.lit(-1.0)
+        for r in able:
+            share = F.when(dim == r.dim, takes[r.dim] / r.n).otherwise(share)
+        place = F.pmod(F.xxhash64("vec_id", "digest"), F.lit(1 << 30)) / float(1 << 30)
+        rows = classes.where(place < share).select(dim.alias("dim"), "digest", "vector").toArrow().combine_chunks().sort_by([("dim", "ascending"), ("digest", "ascending")])
+        lengths = rows.column("dim").to_numpy()
+        for r in able:
+            at = np.flatnonzero(lengths == r.dim)[: takes[r.dim]]
+            if len(at):
+                learned[r.dim] = Planes(r.dim, r.most, threshold, _matrix(rows.column("vector").take(pa.array(at)).combine_chunks(), r.dim))
+    return learned, {r.dim: r.most for r in found if r.dim not in learned}
+
+
+def _tables(learned: dict[int, Planes], others: dict[int, int], threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keys of all vectors. Those of a length with few have one key, the same for all: they are compared with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, Planes] | None = None
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
                 dims, keys = np.diff(part.column(1).offsets.to_numpy()), [[0]] * part.num_rows
-                for dim in set(dims.tolist()) & rotations.keys():
-                    at = np.flatnonzero(dims == dim)
-                    for i, own in zip(at.tolist(), rotations[dim].keys(_matrix(part.column(1).take(pa.array(at)), dim)).tolist(), strict=True):
-                        keys[i] = own
+                for dim in np.unique(dims).tolist():
+                    planes = learned.get(dim)
+                    if planes is None and dim in others:
+                        last = last if last and last[0] == dim else (dim, Planes(dim, others[dim], threshold))
+                        planes = last[1]
+                    if planes is not None:
+                        at = np.flatnonzero(dims == dim)
+                        for i, own in zip(at.tolist(), planes.keys(_matrix(part.column(1).take(pa.array(at)), dim)).tolist(), strict=True):
+                            keys[i] = own
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dims.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "dim", "keys"])
 
     return run
@@ -234,7 +259,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", ve
     first = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id")).alias("least")
     classes = usual.groupBy("label", "digest").agg(first, F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"))
     classes = materialize(classes.select("label", "digest", "least.vec_id", "weight", "vector", F.monotonically_increasing_id().alias("node")), "classes")
-    keys = classes.select("node", "vector").mapInArrow(_tables(_learn(classes, sample, threshold)), "node long, dim int, keys array<long>")
+    keys = classes.select("node", "vector").mapInArrow(_tables(*_learn(classes, sample, threshold), threshold), "node long, dim int, keys array<long>")
     codes = materialize(keys.join(classes.select("node", "label"), "node"), "codes")
     cells, written = _cells(classes, codes, cell)
     met = materialize(cells.mapInArrow(_rerank(threshold), _MET), "met")

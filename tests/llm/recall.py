@@ -1,18 +1,39 @@
-"""Holds op3 and op9 against brute force over a folder of tables: python -m tests.llm.recall DIR [op3|op9]"""
+"""Holds op3 and op9 against brute force over a folder of tables: python -m tests.llm.recall DIR [op3|op9|planted]
 
+planted: the vectors of DIR, each with a partner at a cosine of 0.98 to 0.99 added to it."""
+
+import os
 import sys
 import tempfile
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
 
-from quarry.llm import queries
+from quarry.llm import queries, vector_dedup
+
+
+def vectors_of(folder):
+    return duckdb.sql(f"SELECT vec_id, label, embedding FROM read_parquet('{folder}/embeddings.parquet{'/*.parquet' if os.path.isdir(folder + '/embeddings.parquet') else ''}') WHERE label IS NOT NULL AND embedding IS NOT NULL").fetchall()
+
+
+def with_partners(rows):
+    rng, out = np.random.default_rng(9), list(rows)
+    for i, label, v in rows:
+        x = np.array(v, np.float64)
+        if len(x) > 1 and np.isfinite(x).all() and x.any():
+            side = rng.standard_normal(len(x))
+            side -= side @ x / (x @ x) * x
+            cosine = rng.uniform(0.98001, 0.99)
+            y = cosine * x / np.linalg.norm(x) + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+            out.append((10**9 + i, label, y.tolist()))
+    return out
 
 
-def links_of_vectors(folder):
+def links_of_vectors(rows):
     """vec_id -> number of other vectors of its label at 0.98 or more."""
-    rows = duckdb.sql(f"SELECT vec_id, label, embedding FROM '{folder}/embeddings.parquet' WHERE label IS NOT NULL AND embedding IS NOT NULL").fetchall()
     found = {}
     for key in {(y, len(v)) for _, y, v in rows}:
         own = [(i, v) for i, y, v in rows if (y, len(v)) == key]
@@ -29,9 +50,16 @@ def main(folder, which):
     scratch = tempfile.mkdtemp(prefix="spark-")
     spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", 8).config("spark.checkpoint.dir", f"{scratch}/shared").config("spark.sql.warehouse.dir", f"{scratch}/warehouse").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if which == "op9":
-        said, got = links_of_vectors(folder), {r.vec_id: r.n_links for r in queries.op9_vector_dedup(spark, folder).collect()}
-        print("links", sum(said.values()), "found", sum(got.values()), "vectors that differ", sum(got[i] != n for i, n in said.items()))
+    if which != "op3":
+        rows = vectors_of(folder)
+        if which == "planted":
+            rows = with_partners(rows)
+            pq.write_table(pa.table({"vec_id": [r[0] for r in rows], "label": [r[1] for r in rows], "embedding": pa.array([r[2] for r in rows], pa.list_(pa.float64()))}), f"{scratch}/planted.parquet")
+            got = vector_dedup.link(spark.read.parquet(f"{scratch}/planted.parquet"))
+        else:
+            got = queries.op9_vector_dedup(spark, folder)
+        said, got = links_of_vectors(rows), {r.vec_id: r.n_links for r in got.collect()}
+        print("vectors", len(said), "links", sum(said.values()), "found", sum(got.values()), "vectors that differ", sum(got[i] != n for i, n in said.items()))
     else:
         con = duckdb.connect()
         con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")

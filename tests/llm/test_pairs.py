@@ -170,8 +170,50 @@ def test_links_are_those_of_all_pairs(spark, cell):
 
 
 def test_keys_grow_with_the_number_of_vectors():
-    assert vector_dedup.shape(50_000, 64, 0.98) == (16, 4)
-    for n in (10**7, 10**9, 10**11):
-        bits, rotations = vector_dedup.shape(n, 64, 0.98)
-        assert n / 2**bits <= vector_dedup.COMPANY
-        assert (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** (rotations * (64 // bits)) <= vector_dedup.MISS
+    angle = math.acos(0.98)
+    for n in (50_000, 10**7, 10**9, 10**11):
+        bits, tables = vector_dedup.shape(n, angle)
+        assert bits == 16 or n / 2**bits <= vector_dedup.COMPANY
+        assert (1 - (1 - angle / math.pi) ** bits) ** tables <= vector_dedup.MISS
+
+
+def at_threshold(rng, dim, n, mean):
+    """Pairs of vectors at cosine 0.98 around a mean."""
+    x = rng.standard_normal((n, dim)) + mean * np.ones(dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n, dim))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return x, 0.98 * x + math.sqrt(1 - 0.98**2) * side
+
+
+@pytest.mark.parametrize("dim,mean,learned", [(64, 0, True), (64, 1, True), (64, 4, True), (16, 0, True), (3, 0, False), (96, 0, False), (5, 2, False)])
+def test_pairs_at_the_threshold_meet_in_a_table(dim, mean, learned):
+    x, y = at_threshold(np.random.default_rng(4), dim, 3000, mean)
+    planes = vector_dedup.Planes(dim, 1_000_000, 0.98, x if learned else None)
+    assert (planes.keys(x) == planes.keys(y)).any(1).mean() >= 0.98
+
+
+def test_rare_lengths_are_not_compared_whole(spark, monkeypatch):
+    """Of two lengths one has learned planes, one random ones; a bucket holds few of their vectors."""
+    monkeypatch.setattr(vector_dedup, "LEARNED", 1)
+    rng, rows = np.random.default_rng(6), []
+    for dim, n in ((16, 500), (24, 300)):
+        x, y = at_threshold(rng, dim, n, 0)
+        rows += [v.tolist() for v in (*x, *(y + 0.1 * x))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, vector array<double>, label int")
+    df = df.selectExpr("vec_id", "vector", "label", "sha2(to_json(vector), 256) digest")
+    learned, others = vector_dedup._learn(df, 400, 0.98)
+    assert list(learned) == [16] and others == {24: 600}
+    keys = df.selectExpr("vec_id", "vector").mapInArrow(vector_dedup._tables(learned, others, 0.98), "node long, dim int, keys array<long>").collect()
+    for dim, n in ((16, 1000), (24, 600)):
+        own = [r["keys"] for r in keys if r.dim == dim]
+        assert len(own) == n and max(Counter(k[0] for k in own).values()) < n / 4
+    got = {r.vec_id: r.n_links for r in vector_dedup.link(df, vector_col="vector").collect()}
+    said = dict.fromkeys(range(len(rows)), 0)
+    for low, high in ((0, 1000), (1000, 1600)):
+        x = np.array(rows[low:high])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        said |= {low + i: int(c) - 1 for i, c in enumerate((x @ x.T >= 0.98).sum(1))}
+    assert sum(said.values()) >= 1600 and sum(got[i] for i in said) >= 0.99 * sum(said.values())
+    assert all(got[i] <= n for i, n in said.items())
