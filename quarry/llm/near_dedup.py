@@ -23,6 +23,8 @@ and only shingle sets of classes in candidate pairs and of crowded classes are s
 the second reading is a bitmap of fixed size, as is the table of counts that says which shingles are rare
 (any order of the shingles gives the same pairs; a good one makes their lists short). A shingle that
 occurs in one component only is left out before lists are joined, so a hot group of copies makes no pairs.
+A long list is joined in parts of PART sets, each two of them under a key of their own, so no key holds a frequent
+shingle's pairs (their number still grows with the square of a list that holds many components).
 
 Defined results: null or empty text has no shingles and links with nothing; text with fewer words
 than a shingle is one shingle; rows with a null id take part and count last when a smallest id is
@@ -51,6 +53,8 @@ FILTER_BITS, MAX_WORDS = 1 << 24, 500_000
 SLACK = 4.5
 #: A pair may be left to the regions in which all meet if it shares none of them with this probability at most.
 MISS = 1e-5
+#: Sets in a part of a shingle's list: lists are compared part by part, so a frequent shingle's pairs are many tasks' work.
+PART = 512
 #: Bits of a shingle that say under which count it stands (8 MB).
 COUNT_BITS = 20
 _SKETCH = "doc_id long, t1 long, t2 int, k1 long, k2 long, n_shingles long, signature binary"
@@ -385,14 +389,19 @@ def _apart(crowded: DataFrame, sets: DataFrame, roots: DataFrame, percent: int)
     own = sets.join(crowded, "node", "left_semi").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = materialize(own.select("node", "root", "set"), "crowded-sets")
     rows = _prefixed(own, percent)
-    several = materialize(rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle"), "several")
-    live = materialize(rows.join(several, "shingle"), "live")
+    several = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    several = materialize(several.select("shingle", F.ceil(F.col("size") / PART).cast("int").alias("parts")), "several")
+    live = rows.join(several, "shingle").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    live = materialize(live, "live")
     discard(own, rows, several)
-    x, y = (live.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at"))) for side in "ab")
+    # A pair meets once for a shingle: where the part of the one and that of the other are compared.
+    other = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = (other.select("shingle", F.col(mine).alias("part_a"), F.col(its).alias("part_b"), *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at"))) for side, mine, its in (("a", "own", "other"), ("b", "other", "own")))
     # What the sets can have in common, counted from the first shingle that they share.
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     able = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-    met = x.join(y, (x.shingle == y.shingle) & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & able)
+    same = (x.shingle == y.shingle) & (x.part_a == y.part_a) & (x.part_b == y.part_b)
+    met = x.join(y, same & (F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & able)
     out = materialize(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "apart")
     discard(live)
     return out

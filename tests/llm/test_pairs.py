@@ -72,7 +72,9 @@ def test_groups_are_those_of_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_pairs_among_form_letters_are_found(spark):
+@pytest.mark.parametrize("part", [near_dedup.PART, 40])
+def test_pairs_among_form_letters_are_found(spark, monkeypatch, part):
+    monkeypatch.setattr(near_dedup, "PART", part)
     rng = random.Random(8)
     form = [f"w{i}" for i in range(200)]
     new = lambda words, slots: [f"x{rng.random()}" if i in slots else w for i, w in enumerate(words)]
