@@ -16,6 +16,12 @@ def bare_price(c: Column) -> Column:
     return F.bround(money(c), 0).cast("long").cast("string")
 
 
+def cents(amount: Column) -> Column:
+    """A double to two places as SQL engines round doubles: the amount times 100, halves away from zero. `round(amount, 2)` rounds the number's shortest
+    text instead, which differs where the product reaches a half that the text doesn't show."""
+    return F.round(amount * 100, 0) / 100
+
+
 def truthy(c: Column) -> Column:
     """Non-zero number, or text that is neither empty nor a number."""
     text = c.cast("string")

@@ -111,7 +111,7 @@ def q_display_price(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_msrp_comparison(spark: SparkSession, d: str) -> DataFrame:
-    unit = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2)).alias("msrp"))
+    unit = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(numbers.cents(F.col("l_extendedprice") / F.col("l_quantity"))).alias("msrp"))
     v = vehicles(spark, d)
     return v.join(unit, v.id == unit.l_partkey).select("id", original_msrp(F.coalesce("condition", F.lit("")), F.col("p_retailprice"), F.col("msrp")).alias("msrp"))
 

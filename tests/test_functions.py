@@ -72,3 +72,7 @@ def test_verdicts(spark):
     df = spark.createDataFrame(rows, "scene string, t string, c double, m double, b string")
     got = [tuple(r[0]) for r in df.select(photos.verdict(*(F.col(x) for x in ("scene", "t", "c", "m", "b")))).collect()]
     assert got == [("exterior", True, "tiebreak"), ("interior", False, "label"), ("marketing", False, "no_subject"), ("exterior", False, "subject"), ("exterior", True, "label")]
+
+
+def test_cents_round_the_double_and_not_its_text(spark):
+    assert values(spark, lambda c: numbers.cents(c.cast("double")), ["1.005", "2.675", "1.125", "-1.125", "10.1", None]) == [1.0, 2.68, 1.13, -1.13, 10.1, None]
