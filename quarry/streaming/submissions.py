@@ -6,17 +6,14 @@ Commands (entity, id, seq, kind and their values) change one entity each, in the
 * submission: `submit` (images: id -> url, 1 to 60 of them, all pending), `image` (status, output, category and warning of one image of a submission).
 
 A command on what isn't there is answered with found = false and changes nothing; a submission that exists isn't created again.
-`fold` gives the state after all commands as one batch; `Registry` keeps it in a stream, where a parent and its children are the state of
-one key, and writes the entities that a micro-batch changed. Both agree, however the commands are cut into batches."""
+`fold` gives the state after all commands as one batch; `Registry` keeps it in a stream, in a bucketed table where a parent and its children
+are one row: a micro-batch is folded onto the rows of its keys, and the buckets that it touches are rewritten. Both agree, however the commands are
+cut into batches. A batch costs joins and aggregates by key, not a call for each key."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quarry.operators.keyed import latest
 from quarry.sources.tables import shared_folder, table
@@ -26,54 +23,9 @@ MOST_IMAGES = 60
 COMMAND = "entity string, id string, seq long, kind string, metadata string, status string, vehicle string, webhook string, images map<string,string>, image string, output string, category string, warning string"
 _IMAGE = "struct<image:string,url:string,status:string,output:string,category:string,warning:string>"
 ENTITY = f"entity string, id string, seq long, live boolean, created long, updated long, status string, metadata string, vehicle string, webhook string, images array<{_IMAGE}>"
-_CHANGED = f"{ENTITY}, replies array<struct<seq:bigint,found:boolean>>"
+_COLUMNS = ("entity", "id", "seq", "live", "created", "updated", "status", "metadata", "vehicle", "webhook", "images")
 _CHILD = ("url", "status", "output", "category", "warning")
-
-
-class Entities(StatefulProcessor):
-    """One entity: its own row and, for a submission, a row per image. A key whose entity was deleted, or never came to be, holds no state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.own = handle.getValueState("own", "created long, updated long, status string, metadata string, vehicle string, webhook string")
-        self.children = handle.getMapState("images", "image string", "url string, status string, output string, category string, warning string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entity, id_ = key
-        commands = sorted((c for part in rows for c in part.itertuples(index=False)), key=lambda c: c.seq)  # a key's commands of one micro-batch
-        own = dict(zip(("created", "updated", "status", "metadata", "vehicle", "webhook"), self.own.get(), strict=True)) if self.own.exists() else None
-        text = lambda v: v if isinstance(v, str) else None
-        replies = []
-        for c in commands:
-            found = own is not None
-            if entity == "vehicle" and c.kind == "put":
-                own = (own or {"created": c.seq, "status": "new", "vehicle": None, "webhook": None}) | {"metadata": text(c.metadata), "updated": c.seq}
-                found = True
-            elif entity == "vehicle" and c.kind == "status" and own:
-                own |= {"status": text(c.status), "updated": c.seq}
-            elif entity == "vehicle" and c.kind == "delete":
-                own = None
-            elif entity == "submission" and c.kind == "submit":
-                found = own is None and 1 <= len(c.images or ()) <= MOST_IMAGES
-                if found:
-                    own = {"created": c.seq, "updated": c.seq, "status": None, "metadata": None, "vehicle": text(c.vehicle), "webhook": text(c.webhook)}
-                    for image, url in dict(c.images).items():
-                        self.children.updateValue((image,), (url, "pending", None, None, None))
-            elif entity == "submission" and c.kind == "image":
-                found = own is not None and c.image is not None and self.children.containsKey((c.image,))
-                if found:
-                    url = self.children.getValue((c.image,))[0]
-                    self.children.updateValue((c.image,), (url, text(c.status), text(c.output), text(c.category), text(c.warning)))
-                    own["updated"] = c.seq
-            else:
-                found = False
-            replies.append({"seq": c.seq, "found": found})
-        images = sorted(({"image": k[0], **dict(zip(_CHILD, v, strict=True))} for k, v in self.children.iterator()), key=lambda i: i["image"]) if own and entity == "submission" else None
-        if own:
-            self.own.update(tuple(own[c] for c in ("created", "updated", "status", "metadata", "vehicle", "webhook")))
-        else:
-            self.own.clear()
-        row = {"entity": entity, "id": id_, "seq": commands[-1].seq, "live": own is not None, **(own or dict.fromkeys(("created", "updated", "status", "metadata", "vehicle", "webhook"))), "images": images, "replies": replies}
-        yield pd.DataFrame([row]).astype({"created": "Int64", "updated": "Int64"})
+_KEYED = "entity IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL"
 
 
 class Registry:
@@ -83,27 +35,28 @@ class Registry:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.table = BucketTable(spark, f"{self.folder}/entities", ["entity", "id"], buckets)
 
-    def _apply(self, changed: DataFrame, batch_id: int) -> None:
-        changed.persist()
+    def _apply(self, commands: DataFrame, batch_id: int) -> None:
+        last = self.table.commits.last()
+        if last and last[0] >= batch_id:
+            return  # done before a restart, its replies first
+        rows = self.table.read()
+        before = None if rows is None else rows.where("live").join(commands.select("entity", "id").distinct(), ["entity", "id"], "left_semi")
+        replies(commands, before).write.mode("overwrite").parquet(f"{self.folder}/replies/batch={batch_id}")  # a repeated batch writes the same again
+        live = fold(commands, before).withColumn("live", F.lit(True))
+        gone = commands.where("entity = 'vehicle' AND kind = 'delete'").select("entity", "id").distinct()
+        dead = gone.join(live, ["entity", "id"], "left_anti").withColumn("live", F.lit(False))
+        changed = live.unionByName(dead, allowMissingColumns=True).withColumn("seq", F.lit(batch_id).cast("long"))
+        changed = changed.select(*_COLUMNS).persist()
         try:
-            replies = changed.select("entity", "id", F.explode("replies").alias("r")).select("entity", "id", "r.*")
-            replies.write.mode("overwrite").parquet(f"{self.folder}/replies/batch={batch_id}")  # a repeated batch writes the same again
-            self.table.merge(changed.drop("replies"), lambda rows: latest(rows, ["entity", "id"], ["seq"]), batch_id)
+            self.table.merge(changed, lambda rows: latest(rows, ["entity", "id"], ["seq"]), batch_id)
         finally:
             changed.unpersist()
 
     def run(self, commands: DataFrame) -> None:
         """Applies a stream of commands until nothing is left; may be called again for what has come since, also after a failure."""
-        name = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        try:
-            keyed = commands.where("entity IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL").groupBy("entity", "id")
-            changed = keyed.transformWithStateInPandas(Entities(), _CHANGED, "Update", "None")
-            query = changed.writeStream.foreachBatch(self._apply).outputMode("update").option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
-        finally:
-            self.spark.conf.set(name, before)
+        keyed = commands.where(_KEYED)
+        query = keyed.writeStream.foreachBatch(self._apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
 
     def entities(self) -> DataFrame:
         """Live entities: vehicles, and submissions with their images."""
@@ -114,30 +67,70 @@ class Registry:
         return self.spark.read.schema("entity string, id string, seq long, found boolean").parquet(f"{self.folder}/replies")
 
 
-def fold(commands: DataFrame) -> DataFrame:
-    """The entities after all commands, as one batch: the same rows as `Registry.entities`."""
-    c = commands.where("entity IS NOT NULL AND id IS NOT NULL AND seq IS NOT NULL")
+def _made(submissions: DataFrame) -> DataFrame:
+    """The first valid submit of each submission."""
+    valid = submissions.where((F.col("kind") == "submit") & F.size("images").between(1, MOST_IMAGES))
+    return valid.groupBy("id").agg(F.min_by(F.struct("seq", "vehicle", "webhook", "images"), "seq").alias("m")).select("id", F.col("m.seq").alias("created"), "m.vehicle", "m.webhook", "m.images")
+
+
+def _nothing(commands: DataFrame) -> DataFrame:
+    return commands.sparkSession.createDataFrame([], ENTITY)
+
+
+def fold(commands: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The entities after all commands, as one batch: the same rows as `Registry.entities`. before: the live entities (as in the table) that
+    the commands find."""
+    c = commands.where(_KEYED)
+    before = _nothing(commands) if before is None else before
     v = c.where("entity = 'vehicle'")
     gone = v.where("kind = 'delete'").groupBy("id").agg(F.max("seq").alias("gone"))
     after = v.where("kind <> 'delete'").join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("seq") > F.col("gone")))
-    puts = after.where("kind = 'put'").groupBy("id").agg(F.min("seq").alias("created"), F.max("seq").alias("put"), F.max_by("metadata", "seq").alias("metadata"))
-    told = after.where("kind = 'status'").join(puts.select("id", "created"), "id").where("seq > created").groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("set"))
+    puts = after.where("kind = 'put'").groupBy("id").agg(F.min("seq").alias("first"), F.max("seq").alias("put"), F.max_by("metadata", "seq").alias("metadata"))
+    old = F.struct("created", "updated", "status", "metadata").alias("old")
+    held = puts.join(before.where("entity = 'vehicle'").select("id", old).join(gone, "id", "left_anti"), "id", "full")
+    told = after.where("kind = 'status'").join(held.select("id", "first", F.col("old").isNotNull().alias("had")), "id").where("had OR seq > first").groupBy("id").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("set"))
     none = lambda kind="string": F.lit(None).cast(kind)
-    vehicles = puts.join(told, "id", "left").select(
-        F.lit("vehicle").alias("entity"), "id", "created", F.greatest("put", "set").alias("updated"), F.when(F.col("set").isNull(), "new").otherwise(F.col("status")).alias("status"), "metadata", none().alias("vehicle"), none().alias("webhook"), none(f"array<{_IMAGE}>").alias("images")
-    )
+    vehicles = held.join(told, "id", "left").select(
+        F.lit("vehicle").alias("entity"), "id", F.coalesce("old.created", "first").alias("created"), F.coalesce(F.greatest("put", "set"), F.col("old.updated")).alias("updated"),
+        F.when(F.col("set").isNotNull(), F.col("status")).when(F.col("old").isNotNull(), F.col("old.status")).otherwise("new").alias("status"),
+        F.when(F.col("put").isNotNull(), F.col("metadata")).otherwise(F.col("old.metadata")).alias("metadata"), none().alias("vehicle"), none().alias("webhook"), none(f"array<{_IMAGE}>").alias("images"),
+    )
     s = c.where("entity = 'submission'")
-    valid = s.where((F.col("kind") == "submit") & F.size("images").between(1, MOST_IMAGES))
-    made = valid.groupBy("id").agg(F.min_by(F.struct("seq", "vehicle", "webhook", "images"), "seq").alias("m")).select("id", F.col("m.seq").alias("created"), "m.vehicle", "m.webhook", "m.images")
-    parts = made.select("id", "created", F.explode("images").alias("image", "url"))
+    known = before.where("entity = 'submission'").select("id", "created", "updated", "vehicle", "webhook", "images")
+    made = _made(s).join(known, "id", "left_anti")
+    fresh = F.transform(F.map_entries("images"), lambda e: F.struct(e["key"].alias("image"), e["value"].alias("url"), F.lit("pending").alias("status"), *(none().alias(n) for n in _CHILD[2:])).cast(_IMAGE))
+    # What is known takes every result; what is made here takes those after its submit.
+    own = made.select("id", "created", F.col("created").alias("updated"), "vehicle", "webhook", fresh.alias("images"), F.col("created").alias("since")).unionByName(known.withColumn("since", none("long")))
+    parts = own.select("id", "since", F.explode("images").alias("child")).select("id", "since", F.col("child.image").alias("image"), "child")
     results = s.where("kind = 'image'").select("id", "image", "seq", F.struct("status", "output", "category", "warning").alias("r"))
-    last = parts.join(results, ["id", "image"]).where("seq > created").groupBy("id", "image").agg(F.max_by("r", "seq").alias("r"), F.max("seq").alias("set"))
-    child = F.struct("image", "url", F.when(F.col("set").isNull(), "pending").otherwise(F.col("r.status")).alias("status"), F.col("r.output").alias("output"), F.col("r.category").alias("category"), F.col("r.warning").alias("warning"))
+    last = parts.select("id", "since", "image").join(results, ["id", "image"]).where("since IS NULL OR seq > since").groupBy("id", "image").agg(F.max_by("r", "seq").alias("r"), F.max("seq").alias("set"))
+    child = F.struct("image", F.col("child.url").alias("url"), *(F.when(F.col("set").isNull(), F.col(f"child.{n}")).otherwise(F.col(f"r.{n}")).alias(n) for n in _CHILD[1:]))
     images = parts.join(last, ["id", "image"], "left").groupBy("id").agg(F.array_sort(F.collect_list(child)).alias("images"), F.max("set").alias("set"))  # 60 at most
-    submissions = made.drop("images").join(images, "id").select(F.lit("submission").alias("entity"), "id", "created", F.greatest("created", "set").alias("updated"), none().alias("status"), none().alias("metadata"), "vehicle", "webhook", "images")
+    submissions = own.drop("images").join(images, "id").select(
+        F.lit("submission").alias("entity"), "id", "created", F.coalesce("set", "updated").alias("updated"), none().alias("status"), none().alias("metadata"), "vehicle", "webhook", "images"
+    )
     return vehicles.unionByName(submissions)
 
 
+def replies(commands: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """entity, id, seq, found: whether each command found what it is about, from `before` and the commands before it."""
+    c = commands.where(_KEYED)
+    before = _nothing(commands) if before is None else before
+    v = c.where("entity = 'vehicle'").join(before.where("entity = 'vehicle'").select("id", F.lit(True).alias("had")), "id", "left")
+    earlier = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    lives = F.last(F.when(F.col("kind") == "put", True).when(F.col("kind") == "delete", False), ignorenulls=True).over(earlier)
+    had = F.coalesce(lives, F.col("had"), F.lit(False))
+    vehicles = v.select("entity", "id", "seq", F.when(F.col("kind") == "put", True).when(F.col("kind").isin("status", "delete"), had).otherwise(False).alias("found"))
+    s = c.where("entity = 'submission'")
+    known = before.where("entity = 'submission'").select("id", F.lit(None).cast("long").alias("since"), F.transform("images", lambda i: i["image"]).alias("names"))
+    made = _made(s).join(known, "id", "left_anti").select("id", F.col("created").alias("since"), F.map_keys("images").alias("names"))
+    there = F.coalesce(F.array_contains("names", F.col("image")), F.lit(False)) & (F.col("since").isNull() | (F.col("seq") > F.col("since")))
+    found = F.when(F.col("kind") == "submit", F.coalesce(F.col("seq") == F.col("since"), F.lit(False))).when(F.col("kind") == "image", there).otherwise(False)
+    submissions = s.join(known.unionByName(made), "id", "left").select("entity", "id", "seq", found.alias("found"))
+    others = c.where("entity NOT IN ('vehicle', 'submission')").select("entity", "id", "seq", F.lit(False).alias("found"))
+    return vehicles.unionByName(submissions).unionByName(others)
+
+
 def progress(entities: DataFrame) -> DataFrame:
     """Submissions with their counts of images by status, and whether all are settled."""
     count = lambda *status: F.size(F.filter("images", lambda i: i["status"].isin(*status))).cast("long")
@@ -182,8 +175,8 @@ def q_submissions_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_submissions_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The same state, kept by a stream with a parent and its children in one key's state."""
-    registry = Registry(spark, shared_folder(spark, "registry"), 8)
+    """The same state, kept by a stream in a table with a parent and its children in one row."""
+    registry = Registry(spark, shared_folder(spark, "registry"))
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").load(d)
     registry.run(commands_of(source))
     return _flat(registry.entities())

@@ -107,3 +107,19 @@ def test_a_stream_in_two_halves_equals_the_batch(spark):
         rows.where(half).coalesce(1).write.mode("append").parquet(inbox)
         Registry(spark, folder, 4).run(stream_of(spark, inbox))
     assert plain(Registry(spark, folder).entities()) == plain(fold(rows))
+
+
+def test_a_batch_costs_no_call_for_each_key(spark):
+    """Keys by the thousand in several batches: with a Python call for each of them this took minutes."""
+    import time
+
+    rows = commands_of(spark.range(40_000).selectExpr("id AS event_id", "id % 5000 AS user_id", "element_at(array('view', 'purchase', 'error', 'signup', 'click'), cast(id % 5 AS int) + 1) AS event_type", "cast(id % 97 AS double) AS value", "'{}' AS props"))
+    folder, inbox = shared_folder(spark, "registry"), shared_folder(spark, "inbox")
+    began = time.time()
+    for low in (0, 20_000):
+        rows.where(F.col("seq").between(low, low + 19_999)).coalesce(1).write.mode("append").parquet(inbox)
+        Registry(spark, folder, 4).run(stream_of(spark, inbox))
+    took = time.time() - began
+    registry = Registry(spark, folder, 4)
+    assert plain(registry.entities()) == plain(fold(rows))
+    assert registry.replies().count() == 40_000 and took < 90
