@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import numbers, text
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 #: The keys of the embedded object that are read.
 PAYLOAD = """struct<vin:string,stockNumber:string,year:string,make:string,model:string,trim:string,used:boolean,conditions_array:array<string>,
@@ -106,7 +106,7 @@ def admitted(rows: DataFrame) -> DataFrame:
 
 def stand_in_pages(spark: SparkSession, d: str) -> DataFrame:
     """Vehicle pages made of parts: an embedded object in most, schema.org data in some."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"))
     vin = F.concat(F.lit("1HGCM82633A"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
     photo = lambda i: F.struct(F.concat(F.lit("http://img/640x480/"), (F.col("p_size") % i).cast("string"), F.lit(".jpg")).alias("source"))
     blob = F.to_json(F.struct(

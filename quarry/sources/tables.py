@@ -15,6 +15,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, each: int = 5_000) -> DataFrame:
+    """A table's rows dealt out evenly, so many to a task: what is made of a row may be large and slow where the row itself is small, and a file of
+    small rows is the work of one task or two however many there are."""
+    n = -(-rows.count() // each)
+    return rows.repartition(n) if n > 1 else rows
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """An unused folder that all machines see, below spark.checkpoint.dir."""
     import tempfile
