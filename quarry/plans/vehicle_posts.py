@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.plans import posts
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 #: The fields of a record that posts read.
 RECORD = (
@@ -292,7 +292,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     }
     fields = [c.strip() for c in _split_fields(RECORD)]
     columns = [made.get(f.split(" ")[0], F.lit(None)).cast(f.split(" ", 1)[1]).alias(f.split(" ")[0]) for f in fields]
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), *columns)
+    return spread(table(spark, d, "part")).select(F.col("p_partkey").alias("id"), *columns)
 
 
 def _split_fields(ddl: str) -> list[str]:
