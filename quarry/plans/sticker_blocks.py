@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import titled
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 WORD = "struct<x:double,y:double,text:string>"
 # Headers of the equipment grid and the names of their lists.
@@ -30,7 +30,7 @@ def readable(text: Column) -> Column:
 
 def word_rows(words: Column, tolerance: float = 1.5) -> Column:
     """Rows of words by height: a word joins the row above if it is within the tolerance of that row's first word. Words in a row by x."""
-    by_height = F.transform(F.array_sort(F.transform(words, lambda w: F.struct(w["y"].alias("y"), w["x"].alias("x"), w["text"].alias("text")))), lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["text"].alias("text")))
+    by_height = F.transform(F.sort_array(F.transform(words, lambda w: F.struct(w["y"].alias("y"), w["x"].alias("x"), w["text"].alias("text")))), lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["text"].alias("text")))
 
     def add(rows: Column, w: Column) -> Column:
         last = F.element_at(rows, -1)
@@ -39,28 +39,33 @@ def word_rows(words: Column, tolerance: float = 1.5) -> Column:
 
     # The row under construction keeps its first word first, as it decides; rows are put in order of x at the end.
     grouped = F.aggregate(by_height, F.array().cast(f"array<array<{WORD}>>"), lambda rows, w: F.when(F.size(rows) == 0, F.array(F.array(w))).otherwise(add(rows, w)))
-    return F.transform(grouped, lambda row: F.array_sort(row))
+    return F.transform(grouped, lambda row: F.sort_array(row))
 
 
 def _text(row: Column) -> Column:
     return F.array_join(F.transform(row, lambda w: w["text"]), " ")
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _upper(row: Column) -> Column:
     return F.transform(row, lambda w: F.upper(w["text"]))
 
 
-def has_all(row: Column, *texts: str) -> Column:
-    """Whether all the texts are among a row's words, in any case."""
-    return F.size(F.array_except(F.array(*map(F.lit, texts)), _upper(row))) == 0
+def has_all(upper: Column, *texts: str) -> Column:
+    """Whether all the texts are among a row's words in capitals."""
+    return F.size(F.array_except(F.array(*map(F.lit, texts)), upper)) == 0
 
 
 def first_row(rows: Column, fits) -> Column:
     return F.get(F.filter(rows, fits), F.lit(0))
 
 
-def _starts(row: Column, *texts: str) -> Column:
-    return F.slice(_upper(row), 1, len(texts)) == F.array(*map(F.lit, texts))
+def _starts(upper: Column, *texts: str) -> Column:
+    return F.slice(upper, 1, len(texts)) == F.array(*map(F.lit, texts))
 
 
 def merged(lines: Column) -> Column:
@@ -84,17 +89,19 @@ def _within(words: Column, low: Column, high: Column, left: Column | None, right
     return F.filter(words, lambda w: (w["y"] > low) & (w["y"] < high) & (w["x"] < right) & (F.lit(True) if left is None else w["x"] > left))
 
 
+def _kinds(block: Column) -> Column:
+    """kind and text of each row of the overview but the first."""
+
+    def told(t: Column) -> Column:
+        up = F.upper(t)
+        kind = F.when(t.rlike(r"^\d{4}\b"), "trim_drivetrain").when(up.contains("PASSENGER"), "seating_capacity").when(up.contains("ENGINE") | up.rlike(r"\bECOBOOST\b"), "engine")
+        return F.struct(kind.when(up.contains("TRANSMISSION") | up.rlike(r"\bAUTO\b|\bMANUAL\b"), "transmission").alias("kind"), t.alias("text"))
+
+    return F.transform(F.transform(F.slice(block, 2, 10_000), _text), told)
+
+
 def _overview(block: Column, colours: Column) -> dict[str, Column]:
-    text = lambda row: _text(row)
-    up = lambda row: F.upper(_text(row))
-    kind = lambda row: (
-        F.when(text(row).rlike(r"^\d{4}\b"), "trim_drivetrain")
-        .when(up(row).contains("PASSENGER"), "seating_capacity")
-        .when(up(row).contains("ENGINE") | up(row).rlike(r"\bECOBOOST\b"), "engine")
-        .when(up(row).contains("TRANSMISSION") | up(row).rlike(r"\bAUTO\b|\bMANUAL\b"), "transmission")
-    )
-    rest = F.slice(block, 2, 10_000)
-    last = lambda name: titled(_text(F.try_element_at(F.filter(rest, lambda r: kind(r) == name), F.lit(-1))))
+    last = lambda name: titled(F.try_element_at(F.filter("kinds", lambda r: r["kind"] == name), F.lit(-1))["text"])
 
     def under(label: str) -> Column:
         at = first_row(colours, lambda r: (F.size(r) == 1) & (F.upper(r[0]["text"]) == label))
@@ -114,19 +121,20 @@ def blocks(words: DataFrame, key: str) -> DataFrame:
     good = words.where(readable(F.col("text")) & F.col("x").isNotNull() & F.col("y").isNotNull())
     word = F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("text").alias("text"))
     page = good.groupBy(key).agg(F.collect_list(word).alias("words")).withColumn("rows", word_rows(F.col("words")))
-    rows, all_words = F.col("rows"), F.col("words")
-    height = lambda row: row[0]["y"]
+    rows, all_words, told = F.col("rows"), F.col("words"), F.col("told")
+    page = page.withColumn("told", F.transform(rows, lambda r: F.struct(_upper(r).alias("up"), r.alias("row"))))
+    height = lambda found: found["row"][0]["y"]
 
     # Places of the headers.
     page = page.withColumns(
         {
-            "top": height(first_row(rows, lambda r: has_all(r, "VEHICLE", "DESCRIPTION"))),
-            "grid_top": height(first_row(rows, lambda r: has_all(r, "STANDARD", "EQUIPMENT"))),
-            "grid": first_row(rows, lambda r: has_all(r, "EXTERIOR", "INTERIOR", "FUNCTIONAL") & F.exists(_upper(r), lambda t: t.contains("SAFETY"))),
-            "grid_end": F.coalesce(height(first_row(rows, lambda r: has_all(r, "INCLUDED", "ON", "THIS", "VEHICLE"))), F.lit(1e9)),
-            "extras": height(first_row(rows, lambda r: F.array_contains(_upper(r), "OPTIONAL") & F.exists(_upper(r), lambda t: t.contains("EQUIPMENT")))),
-            "sold": height(first_row(rows, lambda r: _starts(r, "SOLD", "TO"))),
-            "prices_x": first_row(rows, lambda r: _starts(r, "PRICE", "INFORMATION"))[0]["x"],
+            "top": height(first_row(told, lambda r: has_all(r["up"], "VEHICLE", "DESCRIPTION"))),
+            "grid_top": height(first_row(told, lambda r: has_all(r["up"], "STANDARD", "EQUIPMENT"))),
+            "grid": first_row(told, lambda r: has_all(r["up"], "EXTERIOR", "INTERIOR", "FUNCTIONAL") & F.exists(r["up"], lambda t: t.contains("SAFETY")))["row"],
+            "grid_end": F.coalesce(height(first_row(told, lambda r: has_all(r["up"], "INCLUDED", "ON", "THIS", "VEHICLE"))), F.lit(1e9)),
+            "extras": height(first_row(told, lambda r: F.array_contains(r["up"], "OPTIONAL") & F.exists(r["up"], lambda t: t.contains("EQUIPMENT")))),
+            "sold": height(first_row(told, lambda r: _starts(r["up"], "SOLD", "TO"))),
+            "prices_x": first_row(told, lambda r: _starts(r["up"], "PRICE", "INFORMATION"))["row"][0]["x"],
         }
     )
     bottom = F.coalesce("grid_top", F.col("top") + 90)
@@ -147,8 +155,10 @@ def blocks(words: DataFrame, key: str) -> DataFrame:
     body = lambda b: F.filter(rows, lambda r: (r[0]["y"] > grid_y) & (r[0]["y"] < F.col("grid_end")) & (F.size(cell(r, b)) > 0))
     # A row holds all columns, so its height is the row's; only its words in the column are the item.
     page = page.withColumn("bounds", F.transform("heads", bound))
-    page = page.withColumn("parts", F.transform("bounds", lambda b: F.struct(b["label"].alias("label"), F.transform(body(b), lambda r: F.struct(r[0]["y"].alias("y"), F.exists(r, lambda w: F.upper(w["text"]) == "WARRANTY").alias("mark"), _text(cell(r, b)).alias("text"))).alias("lines"))))
-    mark = lambda p: F.get(F.filter(p["lines"], lambda x: x["mark"]), F.lit(0))["y"]
+    # Where the warranties begin is found once for a column.
+    page = page.withColumns({"kinds": _kinds(F.col("block")), "columns": F.transform("bounds", lambda b: F.struct(b["label"].alias("label"), F.transform(body(b), lambda r: F.struct(r[0]["y"].alias("y"), F.exists(r, lambda w: F.upper(w["text"]) == "WARRANTY").alias("mark"), _text(cell(r, b)).alias("text"))).alias("lines")))})
+    page = page.withColumn("parts", F.transform("columns", lambda p: F.struct(p["label"].alias("label"), p["lines"].alias("lines"), F.get(F.filter(p["lines"], lambda x: x["mark"]), F.lit(0))["y"].alias("mark"))))
+    mark = lambda p: p["mark"]
     texts = lambda lines: F.filter(F.transform(lines, lambda x: x["text"]), lambda t: F.trim(t) != "")
     items = lambda p: F.transform(merged(texts(F.filter(p["lines"], lambda x: mark(p).isNull() | (x["y"] < mark(p))))), titled)
     label = F.create_map(*(F.lit(v) for kv in COLUMNS.items() for v in kv))
@@ -172,26 +182,28 @@ def blocks(words: DataFrame, key: str) -> DataFrame:
         F.coalesce("equipment", F.create_map().cast("map<string,array<string>>")).alias("equipment"),
         F.coalesce(F.transform(F.filter("extra_lines", lambda t: (t != "") & ~F.upper(t).contains("NO CHARGE")), titled), F.array().cast("array<string>")).alias("optional_equipment"),
         F.coalesce(F.transform(lines, warranty), F.array().cast("array<string>")).alias("warranties"),
-        F.struct(*(_price(rows, label).alias(name) for name, label in PRICES.items())).alias("pricing"),
+        F.struct(*(_price(told, label).alias(name) for name, label in PRICES.items())).alias("pricing"),
     )
 
 
-def _price(rows: Column, label: list[str]) -> Column:
-    """The first amount that follows the label in its row; of several rows with the label the first that has one."""
+def _price(told: Column, label: list[str]) -> Column:
+    """The first amount that follows the label in its row (row, and up: its words in capitals); of several rows with the label the first that has one."""
     size, wanted = len(label), F.array(*map(F.lit, label))
 
-    def amount(row: Column) -> Column:
-        at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(row), F.lit(1))), lambda i: F.slice(_upper(row), i, size) == wanted), F.lit(0))
-        after = F.when(at.isNotNull(), F.slice(row, at + size, F.greatest(F.size(row) - at - size + 1, F.lit(0))))
-        return F.get(F.filter(F.transform(after, lambda w: w["text"]), lambda t: F.btrim(t, F.lit("$")).rlike(r"^[\d,]+\.\d{2}$")), F.lit(0))
+    def amount(r: Column) -> Column:
+        row = r["row"]
+        at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(row), F.lit(1))), lambda i: F.slice(r["up"], i, size) == wanted), F.lit(0))
+        after = lambda at: F.when(at.isNotNull(), F.slice(row, at + size, F.greatest(F.size(row) - at - size + 1, F.lit(0))))
+        first = F.get(F.filter(F.transform(_let(at, after), lambda w: w["text"]), lambda t: F.btrim(t, F.lit("$")).rlike(r"^[\d,]+\.\d{2}$")), F.lit(0))
+        return F.when(F.array_contains(r["up"], label[0]), first)
 
-    found = F.get(F.filter(F.transform(rows, amount), lambda a: a.isNotNull()), F.lit(0))
-    return F.when(found.startswith("$"), found).otherwise(F.concat(F.lit("$"), found))
+    found = F.get(F.filter(F.transform(told, amount), lambda a: a.isNotNull()), F.lit(0))
+    return _let(found, lambda a: F.when(a.startswith("$"), a).otherwise(F.concat(F.lit("$"), a)))
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
     """A sticker for each part: its name, type and brand are printed as equipment; heights and columns are moved by its size."""
-    p = table(spark, d, "part").where("p_partkey IS NOT NULL")
+    p = spread(table(spark, d, "part").where("p_partkey IS NOT NULL"))
     up, dx, dy = F.upper("p_name"), (F.col("p_size") % 5) * 2.0, (F.col("p_partkey") % 3) * 0.5
     w = lambda x, y, t: F.struct((F.lit(x) + dx).alias("x"), (F.lit(y) + dy).alias("y"), (F.lit(t) if isinstance(t, str) else t).alias("text"))
     line = lambda x, y, text: F.transform(F.split(text, " "), lambda t, i: F.struct((F.lit(x) + dx + i * 12.0).alias("x"), (F.lit(y) + dy).alias("y"), t.alias("text")))
