@@ -123,7 +123,9 @@ def picks(made: DataFrame, key: str, accents: int = 2) -> DataFrame:
 
 def _shots(spark: SparkSession, d: str) -> DataFrame:
     """Orders' lines as shots: a supplier's number tells the angle (some unknown, some none), the discount how sure it is."""
-    line = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_suppkey", "l_discount"), F.struct("l_suppkey", "l_partkey", "l_discount")).alias("l"))
+    # Dealt by order once: the aggregates by line, by angle and by gallery that follow need no shuffle of their own.
+    dealt = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_discount").repartition("l_orderkey")
+    line = dealt.groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_suppkey", "l_discount"), F.struct("l_suppkey", "l_partkey", "l_discount")).alias("l"))
     names = _texts([*CAROUSEL, "detail", "wheel"])
     angle = F.when(F.col("l_orderkey") % 9 > 0, F.get(names, (F.col("l.l_suppkey") % 7).cast("int")))
     return line.select("l_orderkey", F.concat("l_linenumber", F.lit(".png")).alias("file"), angle.alias("angle"), (1 - F.col("l.l_discount")).alias("confidence"), F.col("l_linenumber").alias("position"))
