@@ -48,7 +48,7 @@ from quarry.llm.components import components, joined
 TREES, DEPTH, NEAR = 10, 12, 8
 K = TREES * DEPTH
 #: Bits of the second reading's filter (2 MB) and words kept in a task's table.
-FILTER_BITS, MAX_WORDS = 1 << 24, 500_000
+FILTER_BITS, MAX_WORDS = 1 << 24, 150_000
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
 SLACK = 4.5
 #: A pair may be left to the regions in which all meet if it shares none of them with this probability at most.

@@ -48,8 +48,10 @@ BLOCK, FREQUENT = 64, 32
 #: Texts whose neighbours are looked for at once.
 TOGETHER = 64
 #: Words kept in a task's table, and code points of text that are counted together.
-MAX_TABLE, CHUNK = 200_000, 500_000
+MAX_TABLE, CHUNK = 200_000, 250_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: For text of ASCII alone: letters in lower case, spaces for all else.
+_LOWER = bytes(b | 32 if chr(b).isalpha() and b < 128 else 32 for b in range(256))
 _SIGNIFICANT = 15.0  # G beyond chance, over many terms
 
 
@@ -59,6 +61,11 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    return text.encode().translate(_LOWER).decode().split() if text.isascii() else _WORD.findall(text.lower())
+
+
 class TermCounts:
     """Counts terms in texts. With `keys` (sorted hashes) terms are places in it, and others don't count, or with `strangers` are negative numbers."""
 
@@ -73,9 +80,16 @@ class TermCounts:
     def _learn(self, words: list[str]) -> None:
         from xxhash import xxh64_intdigest as digest
 
-        sizes = 1 + sum(np.fromiter((len(w) >= n for w in words), np.int64, len(words)) for n in PREFIXES)
-        named = chain.from_iterable((w, *(f"{w[:n]}^" for n in PREFIXES if len(w) >= n)) for w in words)
-        terms = np.fromiter(map(digest, named), np.uint64, int(sizes.sum()))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        own = np.ones((len(words), 1 + len(PREFIXES)), bool)
+        own[:, 1:] = lengths[:, None] >= np.array(PREFIXES)
+        hashes, sizes = np.zeros(own.shape, np.uint64), own.sum(1)
+        hashes[:, 0] = np.fromiter(map(digest, words), np.uint64, len(words))
+        for i, n in enumerate(PREFIXES, 1):
+            beginnings = [w[:n] for w in words if len(w) >= n]
+            known = {w: digest(w + "^") for w in set(beginnings)}
+            hashes[own[:, i], i] = np.fromiter(map(known.__getitem__, beginnings), np.uint64, len(beginnings))
+        terms = hashes[own]
         if self.keys is not None:
             at = np.minimum(np.searchsorted(self.keys, terms), max(len(self.keys) - 1, 0))
             known = self.keys[at] == terms if len(self.keys) else np.zeros(len(terms), bool)
@@ -95,7 +109,7 @@ class TermCounts:
             while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK):
                 size += len(texts[high])
                 high += 1
-            split = [_WORD.findall(t.lower()) for t in texts[low:high]]
+            split = [words_of(t) for t in texts[low:high]]
             used = set().union(*split)
             new = used - self.table.keys()
             if len(self.table) + len(new) > MAX_TABLE:

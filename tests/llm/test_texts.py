@@ -505,3 +505,20 @@ def test_scores_hold_on_labels_held_out(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows)
     right = sum(r.predicted == r.toxic for r in rows)
     assert len(rows) > 20 and right >= 0.9 * len(rows)
+
+
+def test_words_of_ascii_text_are_those_of_any_text():
+    from quarry.llm import toxicity
+
+    for text in ("", " ", "It's 2ND-row_x ABC\x00def\x7f[\\]{|}~@`", "ÀB Straße İx naïve_9", "".join(map(chr, range(128))), "".join(map(chr, range(300)))):
+        assert toxicity.words_of(text) == toxicity._WORD.findall(text.lower())
+
+
+def test_terms_of_a_word_are_the_word_and_its_beginnings():
+    from xxhash import xxh64_intdigest
+
+    from quarry.llm import toxicity
+
+    (terms, counts), (none, _) = toxicity.TermCounts()(["Abcdefg abcd abc abcd", "12"])
+    made = {xxh64_intdigest(w): n for w, n in {"abcdefg": 1, "abcd^": 3, "abcdef^": 1, "abcd": 2, "abc": 1}.items()}
+    assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == made and not len(none)
