@@ -75,6 +75,16 @@ def discard(*frames: DataFrame) -> None:
             delete(df.sparkSession, folder)
 
 
+#: Bytes of an Arrow batch that goes to Python, and the setting that bounds them.
+ARROW_BYTES, _ARROW_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on whole texts go to Python a few MB at once, where the session has no bound of its own: 10,000 rows would be held by both sides."""
+    if spark.conf.get(_ARROW_SETTING) == "67108864b":  # Spark's default
+        spark.conf.set(_ARROW_SETTING, ARROW_BYTES)
+
+
 def buckets_for(df: DataFrame, size: int = 256 << 20, least: int = 8, most: int = 8192) -> int:
     """Buckets for a table about as large as `df`: one for `size` bytes by the optimizer's estimate, or as many as
     shuffles have partitions where it has none."""

@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import discard, materialize, text_of
+from quarry.llm.common import discard, materialize, small_batches, text_of
 
 #: Bound of what is fitted and sent to all tasks: rows of the example bank.
 MAX_EXAMPLES = 3_000
@@ -47,11 +48,11 @@ PREFIXES = (4, 6)
 BLOCK, FREQUENT = 64, 32
 #: Texts whose neighbours are looked for at once.
 TOGETHER = 64
-#: Words kept in a task's table, and code points of text that are counted together.
-MAX_TABLE, CHUNK = 200_000, 250_000
+#: Tokens kept in a task's table before it is begun anew, and code points of text that are counted together.
+MAX_TABLE, CHUNK = 150_000, 250_000
 _WORD = re.compile(r"[^\W\d_]+")
-#: For text of ASCII alone: letters in lower case, spaces for all else.
-_LOWER = bytes(b | 32 if chr(b).isalpha() and b < 128 else 32 for b in range(256))
+#: For UTF-8: ASCII letters in lower case, spaces for the rest of ASCII, all else as it is.
+_LOWER = bytes(b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in range(256))
 _SIGNIFICANT = 15.0  # G beyond chance, over many terms
 
 
@@ -63,7 +64,14 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
-    return text.encode().translate(_LOWER).decode().split() if text.isascii() else _WORD.findall(text.lower())
+    return _WORD.findall(text.lower())
+
+
+def tokens_of(text: str) -> list[bytes]:
+    """What lies between the ASCII characters that aren't letters: words, or where other characters occur what `words_of` finds words in."""
+    if "\u03a3" in text:  # the one letter whose lower case depends on its neighbours
+        return [w.encode() for w in words_of(text)]
+    return text.encode().translate(_LOWER).split()
 
 
 class TermCounts:
@@ -74,67 +82,88 @@ class TermCounts:
         self._clear()
 
     def _clear(self) -> None:
-        self.table: dict[str, int] = {}
+        self.table: defaultdict[bytes, int] = defaultdict(count().__next__)
         self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64 if self.keys is None else np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, tokens: list[bytes]) -> None:
+        """Terms of tokens that the table has just numbered."""
         from xxhash import xxh64_intdigest as digest
 
+        words, times = [], np.ones(len(tokens), np.int64)
+        for i, token in enumerate(tokens):
+            if token.isascii():
+                words.append(token.decode())
+            else:
+                found = words_of(token.decode())
+                times[i] = len(found)
+                words += found
+        of = np.repeat(np.arange(len(tokens)), times)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         own = np.ones((len(words), 1 + len(PREFIXES)), bool)
         own[:, 1:] = lengths[:, None] >= np.array(PREFIXES)
-        hashes, sizes = np.zeros(own.shape, np.uint64), own.sum(1)
+        hashes = np.zeros(own.shape, np.uint64)
         hashes[:, 0] = np.fromiter(map(digest, words), np.uint64, len(words))
         for i, n in enumerate(PREFIXES, 1):
-            beginnings = [w[:n] for w in words if len(w) >= n]
-            known = {w: digest(w + "^") for w in set(beginnings)}
-            hashes[own[:, i], i] = np.fromiter(map(known.__getitem__, beginnings), np.uint64, len(beginnings))
-        terms = hashes[own]
+            hashes[own[:, i], i] = np.fromiter(map(digest, [w[:n] + "^" for w in words if len(w) >= n]), np.uint64, int(own[:, i].sum()))
+        terms, of = hashes[own], np.repeat(of, own.sum(1))
         if self.keys is not None:
-            at = np.minimum(np.searchsorted(self.keys, terms), max(len(self.keys) - 1, 0))
+            order = np.argsort(terms)
+            at = np.empty(len(terms), np.int64)
+            at[order] = np.minimum(np.searchsorted(self.keys, terms[order]), max(len(self.keys) - 1, 0))
             known = self.keys[at] == terms if len(self.keys) else np.zeros(len(terms), bool)
             if self.strangers:
                 at, known = np.where(known, at, -(terms >> np.uint64(1)).astype(np.int64) - 1), np.ones(len(terms), bool)
-            sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
-            terms = at[known]
-        self.table.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+            terms, of = at[known], of[known]
+        sizes = np.bincount(of, minlength=len(tokens))
         self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
         self.sizes, self.pool = np.append(self.sizes, sizes), np.append(self.pool, terms)
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text its terms, in order, and how often each occurs."""
+    def _each(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text the terms of all its words."""
         low = 0
         while low < len(texts):
             high, size = low, 0
             while high < len(texts) and (high == low or size + len(texts[high]) <= CHUNK):
                 size += len(texts[high])
                 high += 1
-            split = [words_of(t) for t in texts[low:high]]
-            used = set().union(*split)
-            new = used - self.table.keys()
-            if len(self.table) + len(new) > MAX_TABLE:
+            if len(self.table) > MAX_TABLE:
                 self._clear()
-                new = used
-            if new:
-                self._learn(list(new))
+            split = [tokens_of(t) for t in texts[low:high]]
             lengths = np.fromiter(map(len, split), np.int64, len(split))
             flat = np.fromiter(map(self.table.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-            terms = self.pool[_ranges(self.starts[flat], self.sizes[flat])]
-            ends = np.append(0, np.cumsum(self.sizes[flat]))[np.append(0, np.cumsum(lengths))]
+            new = len(self.table) - len(self.sizes)
+            if new:
+                self._learn(list(islice(reversed(self.table), new))[::-1])
+            sizes = self.sizes[flat]
+            terms = self.pool[_ranges(self.starts[flat], sizes)]
+            ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(lengths))].tolist()
             for a, b in zip(ends, ends[1:], strict=False):
-                yield np.unique(terms[a:b], return_counts=True)
+                yield terms[a:b]
             low = high
 
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its terms, in order, and how often each occurs."""
+        for terms in self._each(texts):
+            yield np.unique(terms, return_counts=True)
+
+    def present(self, texts: list[str], seen: np.ndarray) -> None:
+        """Count in `seen` the texts that each term is in."""
+        for terms in self._each(texts):
+            seen[terms] += 1  # once, however often the term is there
+
 
 def _arranged(dense: np.ndarray, ids: np.ndarray, steps: int = 5) -> np.ndarray:
-    """An order of the examples (columns) in which like ones share blocks, which keeps the bounds tight: spherical k-means."""
-    n = dense.shape[1]
+    """An order of the examples in which like ones share blocks, which keeps the bounds tight: spherical k-means."""
+    n = len(ids)
     group = np.zeros(n, np.int64)
-    if n > 4 * BLOCK and len(dense):
-        centres = dense[:, np.random.default_rng(3).permutation(n)[: n // (4 * BLOCK)]]
+    if n > 4 * BLOCK and dense.shape[1]:
+        first = np.random.default_rng(3).permutation(n)[: n // (4 * BLOCK)]
+        centres = dense[first // BLOCK, :, first % BLOCK].T
+        member = np.zeros((len(dense) * BLOCK, len(first)), np.float32)
         for _ in range(steps):
-            group = (dense.T @ centres).argmax(1)
-            sums = np.stack([dense[:, group == g].sum(1) for g in range(centres.shape[1])], 1)
+            group = np.concatenate([block.T @ centres for block in dense])[:n].argmax(1)
+            member[:n] = group[:, None] == np.arange(len(first))
+            sums = sum(block @ own for block, own in zip(dense, member.reshape(len(dense), BLOCK, -1), strict=True))
             centres = sums / np.maximum(np.linalg.norm(sums, axis=0), 1e-12)
     return np.lexsort((ids, group))
 
@@ -148,13 +177,13 @@ class Bank:
 
     keys: hashes of its terms, sorted. weight: what a term weighs. strange: what a term weighs that no example has. Examples come as their ids, labels, numbers that equal
     texts share, and vectors as (row, term, count) triples. Postings of rare terms are lists, those of frequent terms
-    are written out row by row, block by block."""
+    are written out block by block, so that a block's rows are multiplied where they stand."""
 
     def __init__(self, keys: np.ndarray, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, twins: np.ndarray, row: np.ndarray, term: np.ndarray, count: np.ndarray, k: int, strange: float = 0.0):
         self.keys, self.weight, self.k, self.curve, self.sent, self.strange = keys, weight, k, np.zeros(4), None, strange
         self.ids, self.labels, self.twins = ids, labels.astype(np.float64), twins
         self._hold(row, term, count)
-        place = _arranged(self.dense.reshape(len(self.dense), self.blocks * BLOCK)[:, : len(ids)], ids)
+        place = _arranged(self.dense, ids)
         self._release()
         back = np.empty(len(ids), np.int32)
         back[place] = np.arange(len(ids))
@@ -200,11 +229,11 @@ class Bank:
         self.frequent = np.full(len(self.keys), -1, np.int32)
         often = np.flatnonzero(df > max(n // FREQUENT, BLOCK))
         self.frequent[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.blocks, BLOCK), np.float32)
+        self.dense = np.zeros((self.blocks, len(often), BLOCK), np.float32)
         of_frequent = self.frequent[term] >= 0
-        self.dense.reshape(len(often), self.blocks * BLOCK)[self.frequent[term[of_frequent]], row[of_frequent]] = value[of_frequent]
+        self.dense[row[of_frequent] // BLOCK, self.frequent[term[of_frequent]], row[of_frequent] % BLOCK] = value[of_frequent]
         #: The largest weight of each frequent term in each block.
-        self.block_max = self.dense.max(2) if len(often) else np.zeros((0, self.blocks), np.float32)
+        self.block_max = np.ascontiguousarray(self.dense.max(2).T)
         self.row, self.value = row[~of_frequent].astype(np.int32), value[~of_frequent]
         self.start = np.append(0, np.cumsum(np.where(self.frequent < 0, df, 0)))
 
@@ -246,15 +275,18 @@ class Bank:
             total[i, :n][self.twins == without[i]] = -np.inf
         total[:, n:] = -np.inf
         own, column = np.unique(number[~rare], return_inverse=True)
+        every = 2 * len(own) > len(self.block_max)  # then terms that no text has cost less than copies of the others' rows
+        if every:
+            own, column = np.arange(len(self.block_max)), number[~rare]
         if len(own):
             frequent = np.zeros((m, len(own)), np.float32)
             frequent[text[~rare], column] = weights[~rare]
-            bound = (frequent @ self.block_max[own]) * np.float32(1.0001)
+            bound = (frequent @ (self.block_max if every else self.block_max[own])) * np.float32(1.0001)
             best = total.reshape(m, self.blocks, BLOCK).max(2) + bound
 
             def add(blocks: np.ndarray) -> None:
-                places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                total[:, places] += frequent @ self.dense[np.ix_(own, blocks)].reshape(len(own), -1)
+                for b in blocks.tolist():
+                    total[:, b * BLOCK : (b + 1) * BLOCK] += frequent @ (self.dense[b] if every else self.dense[b, own])
 
             # The most promising blocks first; then all others that can still hold one of the k nearest.
             few = min(self.blocks, max(-(-2 * self.k // BLOCK), self.blocks // 16))
@@ -354,8 +386,7 @@ def _document_frequencies(texts: DataFrame, keys: np.ndarray) -> tuple[int, np.n
             for low in range(0, batch.num_rows, 512):
                 part = batch.column(0)[low : low + 512].to_pylist()
                 rows += len(part)
-                for terms, _ in counts(part):
-                    seen[terms] += 1
+                counts.present(part, seen)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(seen[at], rows))], names=["term", "n"])
 
@@ -370,6 +401,7 @@ def fit(docs: DataFrame, labels: DataFrame, k: int = 25, max_examples: int = MAX
 
     The bank and its calibration come from a bounded sample of labelled rows; the frequencies of
     terms come from all of `docs`."""
+    small_batches(docs.sparkSession)
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     text = text_of(text_col)
@@ -420,6 +452,7 @@ def _calibration(bank: Bank, examples: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, bank: Bank, text_col: str = "text") -> DataFrame:
     """All columns of `docs`, with toxic_score and nearest (ids and cosines of up to five examples)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("toxic_score", "nearest")
     shared, curve = bank.shared(docs.sparkSession), bank.curve
     nearest = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())]))

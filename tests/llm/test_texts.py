@@ -522,3 +522,28 @@ def test_terms_of_a_word_are_the_word_and_its_beginnings():
     (terms, counts), (none, _) = toxicity.TermCounts()(["Abcdefg abcd abc abcd", "12"])
     made = {xxh64_intdigest(w): n for w, n in {"abcdefg": 1, "abcd^": 3, "abcdef^": 1, "abcd": 2, "abc": 1}.items()}
     assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == made and not len(none)
+
+
+def test_tokens_hold_the_words_of_any_text():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("aBz ZqK\t.'_7\u00e9\u00c9\u0130\u0131\u212a\u0301\u2019\u03a3\u03c2\u0391\u00df\u4e2d\u0661\u00a0\U0001d400") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    for text in texts:
+        assert [w for token in toxicity.tokens_of(text) for w in toxicity.words_of(token.decode())] == toxicity.words_of(text)
+
+
+def test_texts_are_counted_once_for_a_term_however_often_it_occurs(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TABLE", 5)
+    monkeypatch.setattr(toxicity, "CHUNK", 30)
+    rng = random.Random(13)
+    words = ["abcd", "abcdef", "abcdefg", "abcdxyz", "caf\u00e9teria", "caf\u00e9s", "na\u00efve", "abcdef\u2019s", "\u0391\u03a3", "x", "BCDE", "ccde", "12"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    terms = lambda text: [t for w in toxicity.words_of(text) for t in (w, *((w[:n], n) for n in toxicity.PREFIXES if len(w) >= n))]
+    found = list(toxicity.TermCounts()(texts))
+    for text, (_, n) in zip(texts, found, strict=True):
+        assert sorted(n.tolist()) == sorted(Counter(terms(text)).values())
+    keys = np.unique(np.concatenate([t for t, _ in found]))
+    every = Counter(t for text in texts for t in set(terms(text)))
+    assert len(keys) == len(every) == len(np.unique(keys >> np.uint64(1)))
+    seen = np.zeros(len(keys), np.int64)
+    toxicity.TermCounts(keys).present(texts, seen)
+    assert sorted(seen.tolist()) == sorted(every.values())
