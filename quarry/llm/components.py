@@ -5,8 +5,9 @@ to the smallest of them, until all links point at the smallest node of a compone
 links are written to the shared folder. The smallest neighbour is found by partial aggregation and
 written before it is joined, so both join sides are plain exchanges and AQE can split a hub.
 
-Within a task links are contracted first (each node points at the smallest node that the task's links reach from it), so few
-rounds are left, and none but the last check for graphs that AQE puts into one partition.
+Within a task links are contracted first (each node points at the smallest node that the task's links reach from it). Tasks
+take about TOGETHER links each, however many partitions a shuffle has, so few rounds are left: none for a graph
+of up to TOGETHER links, and a larger one is always dealt out over several tasks.
 
 Defined results: self-links and repeated links change nothing; no links give an empty result.
 """
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import discard, materialize
 
 
+#: Links that a task contracts together.
+TOGETHER = 100_000
+
+
 def _state(links: DataFrame) -> tuple:
     """Tells two sets of links apart: their number and an order-free digest."""
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -47,15 +52,15 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(find, part), pa.int64())], names=["a", "b"])
 
 
-def _step(links: DataFrame, large: bool) -> DataFrame:
-    """One star step over distinct links a > b."""
+def _step(links: DataFrame, large: bool, tasks: int) -> DataFrame:
+    """One star step over distinct links a > b, contracted by so many tasks at most."""
     around = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         around = around.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = materialize(around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "star")
     joined = around.join(least, "u")
     moved = joined.where(F.col("v") > F.col("u")) if large else joined.unionByName(least.select("u", F.col("u").alias("v"), "m"))
-    out = materialize(moved.where(F.col("v") > F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().mapInArrow(_contract, "a long, b long"), "links")
+    out = materialize(moved.where(F.col("v") > F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct().coalesce(tasks).mapInArrow(_contract, "a long, b long"), "links")
     discard(least, links)
     return out
 
@@ -66,7 +71,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = materialize(links.select(F.greatest(at, to).alias("a"), F.least(at, to).alias("b")).where(F.col("a") != F.col("b")).distinct().mapInArrow(_contract, "a long, b long"), "links")
     state = _state(links)
     while state[0]:
-        links = _step(_step(links, large=True), large=False)
+        tasks = -(-state[0] // TOGETHER)
+        if tasks == 1:
+            before, links = links, materialize(links.coalesce(1).mapInArrow(_contract, "a long, b long"), "links")
+            discard(before)
+            break
+        links = _step(_step(links, large=True, tasks=tasks), large=False, tasks=tasks)
         before, state = state, _state(links)
         if state == before:
             break

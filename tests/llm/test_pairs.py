@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quarry.llm import components as components_module
 from quarry.llm import near_dedup, vector_dedup
 from quarry.llm.components import components
 
@@ -126,6 +127,26 @@ def test_components_of_long_chains_and_hubs(spark):
     assert got == {**{i: 100 for i in chain}, **{i: 7 for i in range(7, 40)}, 50: 49, 49: 49}
 
 
+@pytest.mark.parametrize("together, rounds", [(components_module.TOGETHER, 0), (16, 30)])
+def test_few_links_need_no_rounds_however_many_partitions(spark, monkeypatch, together, rounds):
+    monkeypatch.setattr(components_module, "TOGETHER", together)
+    written = []
+    monkeypatch.setattr(components_module, "materialize", lambda df, label, write=components_module.materialize: written.append(label) or write(df, label))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = [(i, i + 1) for i in range(120) if i != 60]
+        random.Random(2).shuffle(links)
+        got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 if i <= 60 else 61 for i in range(121)}
+    assert written.count("star") <= rounds
+
+
 def vectors():
     rng = random.Random(5)
     unit = lambda: [rng.gauss(0, 1) for _ in range(64)]
