@@ -2,9 +2,11 @@
 
 import os
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm import queries
+from quarry.llm import queries, toxicity
 from tests.oracle import DATA, differences
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -69,3 +71,18 @@ def test_each_stage_takes_awkward_tables(spark):
             if name != "packing":
                 assert out.columns == docs.columns
             assert out.count() >= min(docs.count(), 4) if name != "near_dedup" else out.count() <= docs.count()
+
+
+def test_long_texts_go_to_python_a_few_megabytes_at_once(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words of a text ', 300)").alias("text"))
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        toxicity.fit(docs, spark.createDataFrame([], "doc_id long, label int"))
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5_000_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
